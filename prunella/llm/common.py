@@ -134,7 +134,7 @@ def row_of(first: np.ndarray) -> np.ndarray:
 
 
 def windows(h: np.ndarray, first: np.ndarray, width: int):
-    """Hashes of all windows of `width` items inside their rows, and the row of each window."""
+    """Hashes of all windows of `width` items inside their rows, and the number of each window's first item."""
     rows = row_of(first)
     last = len(h) - width + 1
     if last <= 0:
@@ -144,4 +144,33 @@ def windows(h: np.ndarray, first: np.ndarray, width: int):
     for j in range(width):
         out = (out + h[j : j + last]) * np.uint64(0x9FB21C651E98DF25 + 2 * j)
         out ^= out >> np.uint64(29)
-    return mix(out[ok]), rows[:last][ok]
+    at = np.flatnonzero(ok)
+    return mix(out[at]), at
+
+
+_CODE32 = (BYTE_CODE >> np.uint64(17)).astype(np.uint32)
+
+
+def byte_grams(buf: np.ndarray, off: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The bucket (of 2**bits) of the n bytes at each position; 2**bits where they leave the row."""
+    size = len(buf)
+    out = np.full(size, 1 << bits, np.int64)
+    if size < n:
+        return out
+    code = _CODE32[buf]
+    g = np.full(size - n + 1, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+    for j in range(n):
+        g = (g ^ code[j : size - n + 1 + j]) * np.uint32(0x85EBCA6B + 2 * n)
+        g ^= g >> np.uint32(15)
+    out[: size - n + 1] = (g * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
+    for k in range(1, n):
+        ends = off[1:] - k
+        out[ends[(ends >= 0) & (ends >= off[:-1])]] = 1 << bits
+    return out
+
+
+def row_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of x over rows that begin at first[:-1]."""
+    total = np.zeros(len(x) + 1, np.float64 if x.dtype.kind == "f" else np.int64)
+    np.cumsum(x, out=total[1:])
+    return total[first[1:]] - total[first[:-1]]
