@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prunella.llm.decontaminate import OP10_SQL, op10_decontaminate
 from prunella.llm.jaccard_join import OP2_SQL, op2_jaccard_join
+from prunella.llm.mixing import OP8_SQL, op8_mixing
 from prunella.llm.quality import op5_quality_rules
 from prunella.llm.tokens import op9_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op5_quality_rules": op5_quality_rules,
+    "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op10_decontaminate": OP10_SQL}
+SQL: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op8_mixing": OP8_SQL, "op10_decontaminate": OP10_SQL}
