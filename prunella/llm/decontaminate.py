@@ -90,49 +90,56 @@ def hits(text: str, auto) -> tuple[int, np.ndarray, set, list]:
     return len(words), hit, items, spans
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, str]], width: int, share: int) -> DataFrame:
+def fetched(benchmark: DataFrame) -> list[tuple[int, str]]:
+    """The usable items.  A stated query set whose characters are counted before it is fetched."""
+    usable = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    size = usable.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()["c"]
+    if size > ITEM_CHARS:
+        raise ValueError(f"{size} characters of test items; an automaton takes {ITEM_CHARS}: pass the benchmark in parts")
+    return sorted((r["item_id"], r["text"]) for r in usable.collect())
+
+
+def _each(texts: list[str], items: list[tuple[int, str]], width: int, share: int):
+    """(words, hit words, items, spans, contaminated) of each text."""
+    auto, any_pattern = automaton(items, width)
+    for text in texts:
+        if any_pattern:
+            words, hit, ids, spans = hits(text, auto)
+        else:
+            words, hit, ids, spans = len(text.encode().translate(NORMAL).split()), np.zeros(0, bool), set(), []
+        n = int(hit.sum())
+        yield words, n, sorted(ids), [{"start": a, "end": b} for a, b in spans], n > 0 and share * n >= words
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """Per document: n_words, n_hit, items (sorted ids), spans (hit runs in the original text), contaminated."""
+    small_batches(docs.sparkSession)
+    items = fetched(benchmark)
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.bool_()]
+
     def scan(batches):
-        auto, any_pattern = automaton(items, width)
         for batch in batches:
-            n, h, it, sp = [], [], [], []
-            for text in batch.column("text").fill_null("").to_pylist():
-                if any_pattern:
-                    words, hit, ids, spans = hits(text, auto)
-                else:
-                    words, hit, ids, spans = len(text.encode().translate(NORMAL).split()), np.zeros(0, bool), set(), []
-                n.append(words)
-                h.append(int(hit.sum()))
-                it.append(sorted(ids))
-                sp.append([{"start": a, "end": b} for a, b in spans])
-            bad = [x > 0 and share * x >= y for x, y in zip(h, n, strict=True)]
+            rows = list(_each(batch.column("text").fill_null("").to_pylist(), items, width, share))
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(n, pa.int64()),
-                    pa.array(h, pa.int64()),
-                    pa.array(it, pa.list_(pa.int64())),
-                    pa.array(sp, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    pa.array(bad, pa.bool_()),
-                ],
+                [batch.column("doc_id")] + [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)],
                 ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """Per document: n_words, n_hit, items (sorted ids), spans (hit runs in the original text), contaminated.
-
-    The benchmark is a stated query set whose characters are counted before it is fetched; beyond ITEM_CHARS a
-    ValueError says so, and the caller runs the parts of the benchmark one after another and joins their spans.
-    """
+def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns."""
     small_batches(docs.sparkSession)
-    usable = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    size = usable.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()["c"]
-    if size > ITEM_CHARS:
-        raise ValueError(f"{size} characters of test items; an automaton takes {ITEM_CHARS}: pass the benchmark in parts")
-    items = sorted((r["item_id"], r["text"]) for r in usable.collect())
-    return _scan(docs, items, width, share)
+    items = fetched(benchmark)
+
+    def clean(batches):
+        for batch in batches:
+            texts = batch.column("text").fill_null("").to_pylist()
+            yield batch.filter(pa.array([not r[4] for r in _each(texts, items, width, share)], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,6 +205,22 @@ def score_quality(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT
     return docs.select("doc_id", "text").mapInArrow(score, SCHEMA)
 
 
+def kept_documents(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of docs that base rules and model keep, with all their columns."""
+    small_batches(docs.sparkSession)
+
+    def keep(batches):
+        for batch in batches:
+            for a, b, buf, off in slices(batch.column("text")):
+                base = base_counts(buf, off)
+                good = (base["n_words"] >= MIN_WORDS) & (100 * base["n_repeat_words"] <= MAX_REPEAT_PERCENT * base["n_words"])
+                if model:
+                    good &= model.probability(logits(buf, off, model.weights, model.bias)) >= keep_at
+                yield batch.slice(a, b - a).filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
