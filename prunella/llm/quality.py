@@ -98,14 +98,14 @@ def base_counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeat}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, where=None) -> pa.Table:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, where=None, of=F.min) -> pa.Table:
     """text and label of the `limit` labelled documents with the lowest hash of their id.
 
     Ids are chosen first, without texts; so the join's broadcast side and what reaches the driver are bounded.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     ids = ids.where(where) if where is not None else ids
-    ids = ids.groupBy("doc_id").agg(F.min(label).alias("label"))
+    ids = ids.groupBy("doc_id").agg(of(label).alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     found = texts.toArrow()
