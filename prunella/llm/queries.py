@@ -10,17 +10,21 @@ from prunella.llm.chat import OP6_SQL, op6_chat_format
 from prunella.llm.decontaminate import OP10_SQL, op10_decontaminate
 from prunella.llm.jaccard_join import OP2_SQL, op2_jaccard_join
 from prunella.llm.language import op4_language_id
+from prunella.llm.line_dedup import op1_line_dedup
 from prunella.llm.mixing import OP8_SQL, op8_mixing
+from prunella.llm.pii import op7_pii
 from prunella.llm.quality import op5_quality_rules
 from prunella.llm.tokens import op9_token_output
 from prunella.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_format": op6_chat_format,
+    "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
     "op10_decontaminate": op10_decontaminate,
