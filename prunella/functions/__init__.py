@@ -1 +1 @@
-
+"""Functions of the retrieval engine."""

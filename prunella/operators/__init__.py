@@ -1 +1 @@
-
+"""Operators of the retrieval engine."""

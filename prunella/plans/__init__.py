@@ -1 +1 @@
-
+"""Plans of the retrieval engine."""

@@ -1 +1 @@
-
+"""Sources of the retrieval engine."""

@@ -1 +1 @@
-
+"""Streaming of the retrieval engine."""
