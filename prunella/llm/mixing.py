@@ -32,7 +32,7 @@ BLOCK_WORDS = 1024
 #: 2 ** SHARD_LEVELS output shards.
 SHARD_LEVELS = 4
 #: Documents in one range of a source's key.
-RANGE_DOCS = 20_000
+RANGE_DOCS = 500
 #: Hypergeometric draws over at most so many blocks are made one by one; beyond, from the rounded normal law.
 EXACT_DRAWS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
