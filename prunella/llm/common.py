@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -15,7 +16,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 #: Arrow batches handed to Python hold at most this many rows; long texts make bigger ones costly.
 ARROW_ROWS = 1000
 #: Kernels work on slices of about this many bytes, so that temporaries stay small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,9 @@ def small_batches(spark: SparkSession) -> None:
     """
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    # One heap per worker that gives memory back: otherwise each of a worker's threads keeps its own.
+    env.setdefault("MALLOC_ARENA_MAX", "1")
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -50,7 +54,22 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/prunella/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete scratch tables that nothing will read again, and let Spark drop the shuffle files of finished queries.
+
+    Spark deletes those once the driver has collected the garbage that refers to them, which may take long by itself.
+    """
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 # ---------------------------------------------------------------- byte kernels

@@ -6,10 +6,9 @@ in at most one element, and of the three sub-parts of that part, in two they agr
 every pair of sub-parts of every part; sets that are similar share one.  A set near the top of its band also signs for
 the next band, so that similar sets of neighbouring bands meet.
 
-Nothing enumerates the pairs of a bucket of similar sets.  Equal sets are one class from the start.  Then each class is
-compared with the least class it shares a signature with; links that hold contract classes to groups; only classes of
-one bucket that are still in different groups are compared further, behind a filter that loses no link: the parities
-of elements per bit of a sketch differ at most as often as the sets do.  All candidates are verified on their sets.
+Nothing enumerates the pairs of a bucket of similar sets.  Equal sets are one class from the start; classes are linked
+through hubs (see linking), behind a filter that loses no link: the parities of elements per bit of a sketch differ at
+most as often as the sets do.  All candidates are verified on their sets.
 
 Defined cases: texts without words (and nulls) have an empty set, link with nothing and are their own component; fewer
 words than a shingle make one shingle of the whole sequence; rows that repeat a doc_id each come back; a row with a null
@@ -27,16 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prunella.llm.common import (
-    LOWER, mix, row_of, slices, small_batches, span_hashes, table, windows, word_bounds, written,
+    LOWER, mix, released, row_of, row_sums, slices, small_batches, span_hashes, table, windows, word_bounds, written,
 )
-from prunella.llm.components import connected_components
+from prunella.llm.linking import light, linked_groups, shared_items, shared_signatures
 
 #: Growth of set sizes from one band to the next.
 BAND_GROWTH = 1.4
-#: 64-bit words of a parity sketch.
-SKETCH_WORDS = 8
-#: Ids below this count (16 bytes each) go to all executors; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: 64-bit words of a parity sketch, and of the wide one that candidate pairs are looked at with before their sets.
+SKETCH_WORDS = 32
+WIDE_WORDS = 128
 
 
 @functools.cache
@@ -85,7 +83,9 @@ def signatures(sets: np.ndarray, first: np.ndarray, percent: int):
         # Similar sets of a tag have at most 2 * top elements together, so differ in at most this many.
         top = low[tag[rows] + 1] - 1
         k = (2 * top * (100 - percent)) // (100 + percent)
-        parts = (k + 2) // 2
+        parts = k // 2 + 1
+        slack = 1 + parts // 20
+        parts = parts + slack
         base = np.zeros(len(rows) + 1, np.int64)
         base[1:] = np.cumsum(parts)
         size = n[rows]
@@ -96,12 +96,19 @@ def signatures(sets: np.ndarray, first: np.ndarray, percent: int):
         cell = (np.repeat(base[:-1], size) + part.astype(np.int64)) * 3 + sub.astype(np.int64)
         total = np.zeros(3 * base[-1], np.uint64)
         np.add.at(total, cell, mix(h ^ np.uint64(0xA24BAED4963EE407)))
+        bare = (np.bincount(cell, minlength=3 * base[-1]) == 0).reshape(-1, 3)
         total = total.reshape(-1, 3)
+        # Of two similar sets, more than `slack` parts agree in a pair of sub-parts.  If no more than `slack` parts of a
+        # set have an empty pair, one agreeing pair is not empty: such sets need no signatures of emptiness.
+        poor = row_sums((bare.sum(1) >= 2).astype(np.int64), base) > slack
+        poor = np.repeat(poor, parts)
         number = _ramp(parts).astype(np.uint64)
         salt = mix(np.repeat(tag[rows], parts).astype(np.uint64) * np.uint64(1 << 40) + number)
         for a, b in ((0, 1), (0, 2), (1, 2)):
-            found.append(mix(mix(total[:, a] + salt) + total[:, b] * np.uint64(3) + np.uint64(10 * a + b)))
-            owner.append(np.repeat(rows, parts))
+            sign = poor | ~(bare[:, a] & bare[:, b])
+            both = mix(mix(total[:, a] + salt) + total[:, b] * np.uint64(3) + np.uint64(10 * a + b))
+            found.append(both[sign])
+            owner.append(np.repeat(rows, parts)[sign])
     if not found:
         return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
     found, owner = np.concatenate(found), np.concatenate(owner)
@@ -115,39 +122,63 @@ def _ramp(n: np.ndarray) -> np.ndarray:
     return np.arange(end[-1] if len(n) else 0) - np.repeat(end - n, n)
 
 
-def sketches(sets: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """SKETCH_WORDS columns of parity bits: two sets' sketches differ in no more bits than the sets in elements."""
+def parities(sets: np.ndarray, first: np.ndarray, words: int) -> np.ndarray:
+    """Rows of `words` 64-bit words of parity bits: two sets' rows differ in no more bits than the sets in elements."""
     rows = row_of(first)
-    bit = ((sets >> np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 6 - SKETCH_WORDS.bit_length() + 1)
-    cell = rows * (64 * SKETCH_WORDS) + bit.astype(np.int64)
-    odd = np.bincount(cell, minlength=(len(first) - 1) * 64 * SKETCH_WORDS) & 1
-    packed = np.packbits(odd.astype(np.uint8).reshape(-1, 64 * SKETCH_WORDS), axis=1).view("<i8")
+    bit = ((sets >> np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 6 - words.bit_length() + 1)
+    cell = rows * (64 * words) + bit.astype(np.int64)
+    odd = np.bincount(cell, minlength=(len(first) - 1) * 64 * words) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 64 * words), axis=1).view("<i8")
+
+
+def sketches(sets: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    packed = parities(sets, first, SKETCH_WORDS)
     return [np.ascontiguousarray(packed[:, j]) for j in range(SKETCH_WORDS)]
 
 
+KEY, CHECK = 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03
 SKETCH = [f"s{j}" for j in range(SKETCH_WORDS)]
 
 
-def set_features(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, key (hash of the set), check (another), sketch words and signatures of each row."""
+def set_features(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, key (hash of the set), check (another) and sketch words of each row."""
 
     def features(batches):
         for batch in batches:
             for a, b, buf, off in slices(batch.column("text")):
                 sets, first = shingle_sets(buf, off, width)
-                key, check = (_set_hash(sets, first, c) for c in (0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03))
-                sig, at = signatures(sets, first, percent)
+                key, check = (_set_hash(sets, first, c) for c in (KEY, CHECK))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(first)), pa.array(key), pa.array(check)]
-                    + [pa.array(x) for x in sketches(sets, first)]
-                    + [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sig.view(np.int64)))],
-                    ["doc_id", "n_shingles", "key", "check", *SKETCH, "sigs"],
+                    + [pa.array(x) for x in sketches(sets, first)],
+                    ["doc_id", "n_shingles", "key", "check", *SKETCH],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        features,
-        "doc_id long, n_shingles long, key long, check long, " + ", ".join(f"{s} long" for s in SKETCH) + ", sigs array<long>",
-    )
+    words = ", ".join(f"{s} long" for s in SKETCH)
+    return docs.select("doc_id", "text").mapInArrow(features, f"doc_id long, n_shingles long, key long, check long, {words}")
+
+
+def signed_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(sig, key) for the signatures of each set; a set signs once in a task, however many copies the task reads."""
+
+    def sign(batches):
+        done: set[int] = set()
+        for batch in batches:
+            for _, _, buf, off in slices(batch.column("text")):
+                sets, first = shingle_sets(buf, off, width)
+                key = _set_hash(sets, first, KEY)
+                new = np.zeros(len(key), bool)
+                for i, k in enumerate(key.tolist()):
+                    if k not in done:
+                        done.add(k)
+                        new[i] = True
+                new &= np.diff(first) > 0
+                size = np.where(new, np.diff(first), 0)
+                sets = sets[np.repeat(new, np.diff(first))]
+                sig, at = signatures(sets, np.concatenate([[0], np.cumsum(size)]), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(key, np.diff(at)))], ["sig", "key"])
+
+    return docs.select("text").mapInArrow(sign, "sig long, key long")
 
 
 def _set_hash(sets: np.ndarray, first: np.ndarray, c: int) -> np.ndarray:
@@ -157,78 +188,79 @@ def _set_hash(sets: np.ndarray, first: np.ndarray, c: int) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(key, elements) of the classes in wanted (key, doc_id), recomputed from their texts."""
-    few = wanted.count() <= BROADCAST_IDS
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
+    """(key, elements, wide) of the classes in wanted (key, doc_id), recomputed from their texts."""
+    rows = docs.select("doc_id", "text").join(light(wanted), "doc_id")
 
     def elements(batches):
         for batch in batches:
             for a, b, buf, off in slices(batch.column("text")):
                 sets, first = shingle_sets(buf, off, width)
+                wide = parities(sets, first, WIDE_WORDS).ravel()
+                ends = np.arange(b - a + 1, dtype=np.int32) * WIDE_WORDS
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(a, b - a), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))],
-                    ["key", "elements"],
+                    [
+                        batch.column("key").slice(a, b - a),
+                        pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(wide)),
+                    ],
+                    ["key", "elements", "wide"],
                 )
 
-    return rows.select("key", "text").mapInArrow(elements, "key long, elements array<long>").dropDuplicates(["key"])
+    return rows.select("key", "text").mapInArrow(elements, "key long, elements array<long>, wide array<long>").dropDuplicates(["key"])
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The pairs (u, v) of classes whose sets are similar enough."""
-    pairs = written(pairs.select("u", "v").distinct(), f"{name}-pairs")
+def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes whose sets are similar enough; only sets of classes in pairs are built."""
     keys = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-    sets = _sets_of(docs, written(keys.join(classes.select("key", "doc_id"), "key"), f"{name}-ids"), width)
-    left = sets.select(F.col("key").alias("u"), F.col("elements").alias("a"))
-    right = sets.select(F.col("key").alias("v"), F.col("elements").alias("b"))
+    sets = written(_sets_of(docs, written(keys.join(info.select("key", "doc_id"), "key"), "wanted"), width), "sets")
+    # First the wide sketches of both sides, then the sets of what is left: a pair of long texts is large.
+    few = light(pairs)
+    left = sets.select(F.col("key").alias("u"), F.size("elements").alias("n"), F.col("wide").alias("x")).join(few, "u")
+    right = sets.select(F.col("key").alias("v"), F.size("elements").alias("m"), F.col("wide").alias("y")).join(few, "v")
+    bits = F.expr("aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (a, b) -> a + b)")
+    may = bits * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent)
+    pairs = written(left.join(right, ["u", "v"]).where(may).select("u", "v"), "near-pairs")
+    released(pairs.sparkSession)
+    few = light(pairs)
+    left = sets.select(F.col("key").alias("u"), F.col("elements").alias("a")).join(few, "u")
+    right = sets.select(F.col("key").alias("v"), F.col("elements").alias("b")).join(few, "v")
     both = F.size(F.array_intersect("a", "b"))
     similar = 100 * both >= percent * (F.size("a") + F.size("b") - both)
-    return written(pairs.join(left, "u").join(right, "v").where(similar).select("u", "v"), f"{name}-links")
+    links = written(left.join(right, ["u", "v"]).where(similar).select("u", "v"), "similar")
+    released(links.sparkSession, sets)
+    return links
+
+
+def _compare(percent: int):
+    """Of two aliased rows: the bits in which their sketches differ, and whether sizes and sketches allow a link."""
+
+    def compare(left: str, right: str):
+        bits = sum(F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in SKETCH)
+        n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
+        return bits, (bits * (100 + percent) <= (n + m) * (100 - percent)) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+
+    return compare
 
 
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = written(set_features(docs, width, percent), "features")
+    rows = written(set_features(docs, width), "features")
     worded = rows.where("n_shingles > 0")
-    # Classes of equal sets; a set's signatures travel once, whatever the number of its copies.
-    classes = worded.groupBy("key").agg(
+    info = worded.groupBy("key").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"),
-        *(F.first(s).alias(s) for s in SKETCH), F.first("sigs").alias("sigs"),
+        *(F.first(s).alias(s) for s in SKETCH),
     )
-    signed = classes.select("key", F.explode("sigs").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub != last")
-    # Only signatures that different classes share go on.
-    live = written(signed.join(shared.select("sig", "hub"), "sig"), "shared")
-    info = written(classes.drop("sigs"), "classes")
+    info = written(info, "classes")
     if info.where("low != high").limit(1).count():
-        raise ArithmeticError("two different sets share a 64-bit hash; change the constants of _set_hash")
-
-    first = live.where("key != hub").groupBy("key").agg(F.min("hub").alias("v")).select(F.col("key").alias("u"), "v")
-    close = written(_may_link(first, info, percent), "first")
-    links = _verified(docs, info, close, width, percent, "first")
-    groups = connected_components(links)
-
-    # What is left: classes that share a signature and are not yet in one group.
-    named = live.select("sig", "key").join(groups, live["key"] == groups["id"], "left").select("sig", "key", F.coalesce("component", "key").alias("g"))
-    open_ = named.groupBy("sig").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a != b").select("sig")
-    rest = written(named.join(open_, "sig").join(info.select("key", "n", *SKETCH), "key"), "open")
-    left, right = rest.alias("l"), rest.alias("r")
-    differ = sum(F.bit_count(F.col(f"l.{s}").bitwiseXOR(F.col(f"r.{s}"))) for s in SKETCH)
-    pairs = left.join(
-        right,
-        (F.col("l.sig") == F.col("r.sig")) & (F.col("l.key") > F.col("r.key")) & (F.col("l.g") != F.col("r.g"))
-        & (differ * (100 + percent) <= (F.col("l.n") + F.col("r.n")) * (100 - percent))
-        & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")),
-    )
-    more = written(pairs.select(F.col("l.key").alias("u"), F.col("r.key").alias("v")).distinct(), "rest")
-    more = more.join(close, ["u", "v"], "left_anti")
-    links = links.union(_verified(docs, info, more, width, percent, "rest"))
-    groups = connected_components(links)
+        raise ArithmeticError("two different sets share a 64-bit hash; change KEY")
+    members = shared_signatures(signed_sets(docs, width, percent))
+    shared = written(shared_items(members).join(info, "key"), "shared-classes")
+    groups = linked_groups(members, shared, ["n", *SKETCH], _compare(percent), lambda pairs: _verified(docs, shared, pairs, width, percent))
 
     # From classes to rows: the least doc_id of a group of classes.
-    whole = info.select("key", "doc_id").join(groups, F.col("key") == F.col("id"), "left")
-    whole = whole.select("key", "doc_id", F.coalesce("component", "key").alias("g"))
+    whole = info.select("key", "doc_id").join(groups, "key", "left").select("key", "doc_id", F.coalesce("g", "key").alias("g"))
     least = whole.groupBy("g").agg(F.min("doc_id").alias("least"))
     named = whole.join(least, "g").select("key", F.col("least").alias("component_id"))
     # A hot class of copies makes this join uneven; AQE splits its partition.
@@ -236,19 +268,6 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     return linked.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _may_link(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of classes that sizes and sketches do not rule out."""
-    left = info.select(F.col("key").alias("u"), F.col("n").alias("nu"), *(F.col(s).alias(f"u{s}") for s in SKETCH))
-    right = info.select(F.col("key").alias("v"), F.col("n").alias("nv"), *(F.col(s).alias(f"v{s}") for s in SKETCH))
-    differ = sum(F.bit_count(F.col(f"u{s}").bitwiseXOR(F.col(f"v{s}"))) for s in SKETCH)
-    return (
-        pairs.join(left, "u").join(right, "v")
-        .where(differ * (100 + percent) <= (F.col("nu") + F.col("nv")) * (100 - percent))
-        .where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-        .select("u", "v")
-    )
-
-
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that remain when one document of each group stays: that with the least id.
 

@@ -1,8 +1,8 @@
 """Groups of linked items from shared signatures, without the pairs of a bucket.
 
-`signed` has a row (sig, key) for each signature of each item; items that may be linked share one.  Linking goes in
-turns: in a turn each item is compared with one hub, of another group, of its signatures; links that hold contract
-groups.  Only items of one signature that are in different groups after the turns are compared with each other, so no
+A table of rows (sig, key) has the signatures of each item; items that may be linked share one.  Linking goes in turns:
+in a turn each item is compared with the closest hub, of another group, of its signatures; links that hold contract
+groups, and signatures whose items are all in one group are done.  Only items of one signature that are in different groups after the turns are compared with each other, so no
 link is lost.  A bucket with very many linked items costs a few comparisons an item.
 """
 
@@ -13,40 +13,61 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prunella.llm.common import written
+from prunella.llm.common import released, written
 from prunella.llm.components import connected_components
 
 #: Turns of comparing each item with one hub; they end early when a turn finds few links.
 HUB_TURNS = 2
 #: A turn that links less than one in so many of the items that could still be linked is the last.
 WORTHWHILE = 50
+#: Tables of ids with fewer rows than this (16 bytes each) go to all executors; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 250_000
+
+Compare = Callable[[str, str], tuple[Column, Column]]
+
+
+def light(df: DataFrame) -> DataFrame:
+    """A table of ids, marked for broadcast where its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def shared_signatures(signed: DataFrame) -> DataFrame:
-    """(sig, key) of all signatures that two different items share.
+    """(sig, key, hub): the items of each signature that different items share, but for its first item, the hub.
 
     In the order of keys, the first item of a signature is its hub; rows stream by, none are held.
     """
     bucket = Window.partitionBy("sig").orderBy("key")
     upto = bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = signed.select("sig", "key", F.lag("key").over(bucket).alias("before"), F.first("key").over(upto).alias("hub"))
-    members = written(rows.where("key != hub and before != key").select("sig", "key", "hub"), "shared")
-    return members.select("sig", "key").union(members.select("sig", F.col("hub").alias("key")).distinct())
+    out = written(rows.where("key != hub and before != key").select("sig", "key", "hub"), "shared")
+    del rows
+    released(out.sparkSession)
+    return out
 
 
-def _hub_turn(live: DataFrame, info: DataFrame, turn: int, compare: Callable[[str, str], tuple[Column, Column]]) -> DataFrame:
-    """(u, v): each item and the closest hub of its signatures that is in another group and may be linked.
+def shared_items(members: DataFrame) -> DataFrame:
+    return members.select("key").union(members.select(F.col("hub").alias("key"))).distinct()
 
-    A signature's hub is at first the item with most shared signatures (what near copies have in common is near to most
-    of them), then the first of its items in an order that is new in each turn.
-    """
-    order = F.xxhash64("key", F.lit(turn)) if turn else -F.col("degree")
-    first = F.min(F.struct(order.alias("h"), F.col("key").alias("hub"), F.col("g").alias("hg")))
-    hubs = live.groupBy("sig").agg(first.alias("f"), F.min("g").alias("low"), F.max("g").alias("high")).where("low != high")
-    pairs = live.join(hubs.select("sig", "f.hub", "f.hg"), "sig").where("g != hg").select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
+
+def _closest(pairs: DataFrame, info: DataFrame, compare: Compare) -> DataFrame:
+    """(u, v): of the pairs of each u that may be linked, the closest."""
     distance, may = compare("l", "r")
     near = pairs.join(info.alias("l"), F.col("u") == F.col("l.key")).join(info.alias("r"), F.col("v") == F.col("r.key")).where(may)
-    return near.groupBy("u").agg(F.min_by("v", F.struct(distance, "v")).alias("v"))
+    return written(near.groupBy("u").agg(F.min_by("v", F.struct(distance, "v")).alias("v")), "pairs")
+
+
+def _hubs(live: DataFrame, turn: int) -> DataFrame:
+    """(u, v): each item and the hubs of its signatures that are in another group.
+
+    A signature's hub is now the item with most open signatures (what near copies have in common is near to most of
+    them), then the first of its items in an order that is new in each turn.
+    """
+    degree = live.groupBy("key").agg(F.count("*").alias("degree"))
+    rows = live.join(light(written(degree, "degrees")), "key")
+    order = F.xxhash64("key", F.lit(turn)) if turn > 1 else -F.col("degree")
+    hubs = rows.groupBy("sig").agg(F.min(F.struct(order.alias("o"), F.col("key").alias("hub"), F.col("g").alias("hg"))).alias("f"))
+    pairs = rows.join(hubs.select("sig", "f.hub", "f.hg"), "sig").where("g != hg")
+    return pairs.select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
 
 
 def _regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -54,41 +75,52 @@ def _regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
     of = groups.select(F.col("key").alias("u"), F.col("g").alias("gu"))
     to = groups.select(F.col("key").alias("v"), F.col("g").alias("gv"))
     merged = connected_components(links.join(of, "u").join(to, "v").select(F.col("gu").alias("u"), F.col("gv").alias("v")))
-    new = groups.join(merged, groups["g"] == merged["id"], "left")
-    return written(new.select("key", F.coalesce("component", "g").alias("g"), "degree"), "groups")
+    return written(groups.join(merged, groups["g"] == merged["id"], "left").select("key", F.coalesce("component", "g").alias("g")), "groups")
+
+
+def _open(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(sig, key, g) of the signatures whose items are in different groups."""
+    known = light(groups)
+    rows = members.join(known, "key").join(known.select(F.col("key").alias("hub"), F.col("g").alias("hg")), "hub")
+    rows = written(rows, "grouped")
+    differ = light(written(rows.where("g != hg").select("sig").distinct(), "open-sigs"))
+    rows = rows.join(differ, "sig")
+    hubs = rows.select("sig", F.col("hub").alias("key"), F.col("hg").alias("g")).distinct()
+    return written(rows.select("sig", "key", "g").union(hubs), "open")
+
+
+def _links(verified: Callable[[DataFrame], DataFrame], pairs: DataFrame) -> DataFrame:
+    out = written(verified(pairs), "links")
+    released(out.sparkSession)
+    return out
 
 
 def linked_groups(
-    live: DataFrame,
-    info: DataFrame,
-    columns: list[str],
-    compare: Callable[[str, str], tuple[Column, Column]],
-    verified: Callable[[DataFrame], DataFrame],
-    turns: int = HUB_TURNS,
+    members: DataFrame, info: DataFrame, columns: list[str], compare: Compare, verified: Callable[[DataFrame], DataFrame], turns: int = HUB_TURNS
 ) -> DataFrame:
-    """(key, g): the group of each item in live (sig, key).
+    """(key, g): the group of each item of members (sig, key, hub).
 
     info has the columns of the items that compare(left alias, right alias) needs: it gives a distance and whether a
     link is possible.  verified keeps the linked ones of pairs (u, v).
     """
     items = info.count()
-    degrees = live.groupBy("key").agg(F.count("*").alias("degree"))
-    groups = written(degrees.select("key", F.col("key").alias("g"), "degree"), "groups")
+    groups = info.select("key", F.col("key").alias("g"))
+    pairs = members.select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
+    live = None
     for turn in range(turns):
-        pairs = written(_hub_turn(live.join(groups, "key"), info, turn, compare), "pairs")
-        links = written(verified(pairs), "links")
+        links = _links(verified, _closest(pairs, info, compare))
         n = links.count()
-        if n:
+        if n or live is None:
             groups = _regrouped(groups, links)
-        if n * WORTHWHILE <= items:
+            live = _open(members, groups)
+        if n * WORTHWHILE <= items or turn == turns - 1:
             break
-    # What is left, so that no link is lost.
-    named = live.join(groups.drop("degree"), "key")
-    open_ = named.groupBy("sig").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("sig")
-    rest = written(named.join(open_, "sig").join(info.select("key", *columns), "key"), "open")
+        pairs = _hubs(live, turn + 1)
+    # What is left, so that no link is lost: items of one signature that are still in different groups.
+    rest = written(live.join(info.select("key", *columns), "key"), "rest")
     _, may = compare("l", "r")
     apart = (F.col("l.key") > F.col("r.key")) & (F.col("l.g") != F.col("r.g"))
     pairs = rest.alias("l").join(rest.alias("r"), (F.col("l.sig") == F.col("r.sig")) & apart & may)
-    pairs = written(pairs.select(F.col("l.key").alias("u"), F.col("r.key").alias("v")).distinct(), "rest")
-    links = written(verified(pairs), "links")
-    return _regrouped(groups, links).drop("degree")
+    pairs = written(pairs.select(F.col("l.key").alias("u"), F.col("r.key").alias("v")).distinct(), "rest-pairs")
+    released(pairs.sparkSession, rest, live, members)
+    return _regrouped(groups, _links(verified, pairs))
