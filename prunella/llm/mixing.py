@@ -4,14 +4,16 @@ A source is a stream of words: its documents in keyed order (by md5 of seed and
 ask for several passes over the stream.  The words a source gives are cut into blocks of BLOCK_WORDS; their number is
 its quota.  A binary tree over the output shards halves the blocks of all sources: how many of each source go left is a
 multivariate hypergeometric draw, so every shard gets exact, whole numbers.  A source's blocks are put in a keyed
-permutation, of which each shard draws its own disjoint range; a shard's blocks are shuffled by a keyed hash.
+permutation, of which each shard draws its own disjoint range; a shard's blocks are shuffled by a keyed hash.  The mix is
+written that way: a row is the part of a document that lies in one block; each file has rows of one shard, in the order
+of its shuffle, and files follow one another in that order.
 
 All of it is DataFrame work.  Sums per source are built from sums per (source, range of the key), so no task holds a
 source.  Draws are keyed hashes: reruns agree.
 
 Defined cases: a null text has no words and is never taken; a null source is a source, the last; rows that repeat a
 doc_id count and are taken one by one; an empty table gives an empty mix.  Columns besides doc_id, text and source play
-no part; `mixed_documents` returns them as they are.
+no part; `sharded_documents` and `mixed_documents` return them as they are.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prunella.llm.common import table, written
+from prunella.llm.common import released, table, written
 
 SEED = "prunella-mix"
 #: Weights of the sources by code point, repeating.
@@ -33,9 +35,13 @@ BLOCK_WORDS = 1024
 SHARD_LEVELS = 4
 #: Documents in one range of a source's key.
 RANGE_DOCS = 500
-#: Hypergeometric draws over at most so many blocks are made one by one; beyond, from the rounded normal law.
+#: Hypergeometric draws over at most so many blocks are made one by one; beyond, by inversion outwards from the mode.
 EXACT_DRAWS = 4096
+#: Blocks in one file of a shard, about.
+FILE_BLOCKS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the space before it; the last one also has the space after it.
+UNIT = rf"[\x20\x09-\x0D]*{WORD}(?:[\x20\x09-\x0D]+\z)?"
 #: Coprime to every number of blocks below it.
 STRIDE = 2147483647
 
@@ -89,11 +95,20 @@ def shard_quotas(sources: DataFrame, levels: int = SHARD_LEVELS) -> DataFrame:
     node = node.select(F.lit(0).cast("long").alias("node"), F.expr("transform(q, x -> x.sno)").alias("sno"), F.expr("transform(q, x -> x.k)").alias("k"))
     uniform = "(shiftrightunsigned(xxhash64('{s}', node, size(acc.out), {i}), 11) + 0.5D) / 9007199254740992D"
     urn = f"""aggregate(sequence(1L, m), 0L, (h, i) -> h + IF({uniform.format(s=SEED, i="i")} * (acc.total - i + 1) < o - h, 1L, 0L))"""
-    normal = f"""greatest(m + o - acc.total, 0L, least(m, cast(round(m * (o / acc.total)
-        + sqrt(m * (o / acc.total) * (1 - o / acc.total) * ((acc.total - m) / (acc.total - 1)))
-        * sqrt(-2 * ln({uniform.format(s=SEED, i="-1L")})) * cos(2 * pi() * {uniform.format(s=SEED, i="-2L")})) as bigint)))"""
+    # Weights relative to that of the mode, over all that a double can tell from 0; their sum makes them exact.
+    span = "sequence(0L, cast(ceil(10 * sqrt(m * (o / acc.total) * (1 - o / acc.total))) + 30 as bigint))"
+    mode = "greatest(m + o - acc.total, 0L, least(m, cast(floor((m + 1D) * (o + 1D) / (acc.total + 2D)) as bigint)))"
+    up = "s.up * ((o - b - j) * (m - b - j) / ((b + j + 1D) * (acc.total - o - m + b + j + 1D)))"
+    down = "s.down * ((b - j) * (acc.total - o - m + b - j) / ((o - b + j + 1D) * (m - b + j + 1D)))"
+    # The mode itself comes up in both directions: once too often.
+    mass = f"""aggregate({span}, named_struct('up', 1D, 'down', 1D, 'sum', -1D),
+        (s, j) -> named_struct('up', {up}, 'down', {down}, 'sum', s.sum + s.up + s.down), s -> s.sum)"""
+    found = "CASE WHEN s.hit IS NOT NULL THEN s.hit WHEN s.rest < s.up THEN b + j WHEN s.rest < s.up + s.down THEN b - j END"
+    walk = f"""aggregate({span}, named_struct('up', 1D, 'down', 1D, 'rest', 1 + {uniform.format(s=SEED, i="-1L")} * {mass}, 'hit', cast(null as double)),
+        (s, j) -> named_struct('up', {up}, 'down', {down}, 'rest', s.rest - s.up - s.down, 'hit', {found}), s -> cast(coalesce(s.hit, b) as bigint))"""
+    inverse = f"transform(array(cast({mode} as double)), b -> {walk})[0]"
     # m draws from a urn of acc.total blocks of which o count; the law is the same with both exchanged.
-    draw = f"CASE WHEN m = 0 THEN 0L WHEN m <= {EXACT_DRAWS} THEN {urn} ELSE {normal} END"
+    draw = f"CASE WHEN m = 0 THEN 0L WHEN m <= {EXACT_DRAWS} THEN {urn} ELSE {inverse} END"
     step = f"""aggregate(k, named_struct('n', half, 'total', all, 'out', cast(array() as array<bigint>)), (acc, x) ->
         transform(transform(array(named_struct('m', least(x, acc.n), 'o', greatest(x, acc.n))), z -> {draw}),
         d -> named_struct('n', acc.n - d, 'total', acc.total - x, 'out', concat(acc.out, array(d))))[0]).out"""
@@ -163,8 +178,53 @@ def mixture(docs: DataFrame) -> DataFrame:
     return pieces(passes(stream(sizes, sources)), shard_quotas(sources))
 
 
+def dealt(docs: DataFrame, drawn: DataFrame, sources: DataFrame) -> DataFrame:
+    """The pieces in drawn (see pieces) with the columns of docs under `row`, text and n_chars following the part that is
+    in the piece; partitions go up with shard and turn, and so do the rows of each.
+
+    A document's pieces are cut in one go where its text is, and only the parts are shuffled to their shards.  Hashes
+    spread turns evenly, so the partition of a block is told by its turn, without a sample.
+    """
+    own = ("shard", "turn", "sno", "block", "pass", "start", "first_word", "n_words")
+    takes = drawn.groupBy("mark", "dup").agg(F.first("size").alias("size"), F.collect_list(F.struct(*own)).alias("takes"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), mark_of().alias("m"), "source")
+    rows = rows.withColumn("d", F.row_number().over(Window.partitionBy("m").orderBy("source"))).drop("source")
+    # Not an equality, so that the rows stay as dealt out for the window: texts move once.
+    same = (F.col("d") <= F.col("dup")) & (F.col("d") >= F.col("dup"))
+    both = rows.join(takes, (F.col("m") == F.col("mark")) & same)
+    units = f"IF(exists(takes, t -> t.n_words < size), regexp_extract_all(row.text, r'{UNIT}', 0), array())"
+    part = "array_join(slice(u, cast(t.first_word + 1 as int), cast(t.n_words as int)), '')"
+    cut = f"transform(array({units}), u -> transform(takes, t -> named_struct('take', t, 'part', IF(t.n_words < size, {part}, row.text))))[0]"
+    rest = [c for c in docs.columns if c != "text"]
+    one = both.select(F.struct(*(F.col(f"row.`{c}`") for c in rest)).alias("rest"), "size", F.explode(F.expr(cut)).alias("p"))
+    out = {c: F.col(f"rest.`{c}`") for c in rest} | {"text": F.col("p.part")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("p.take.n_words") < F.col("size"), F.length("p.part").cast("long")).otherwise(F.col("rest.n_chars"))
+    row = F.struct(*(out[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    # Written before they are dealt out, so that the shuffles of the texts are never on disk at the same time.
+    one = written(one.select("p.take.*", row.alias("row")), "parts", compression="zstd")
+    released(docs.sparkSession)
+    blocks = sources.agg(F.sum(F.ceil(F.col("quota_words") / BLOCK_WORDS))).first()[0] or 0
+    files = max(1, -(-int(blocks) // (FILE_BLOCKS << SHARD_LEVELS)))
+    slot = F.least(F.floor((F.col("turn") / F.lit(2.0**64) + 0.5) * files), F.lit(files - 1))
+    one = one.repartitionById(files << SHARD_LEVELS, (F.col("shard") * files + slot).cast("int"))
+    return one.sortWithinPartitions("shard", "turn", "sno", "block", "pass", "start")
+
+
+def sharded_documents(docs: DataFrame) -> DataFrame:
+    """The mix as rows of docs: a row for each part of a document that is in one block, shard by shard, each in the order
+    of its shuffle.
+
+    The parts of a document, put together, are its text.  Other columns stay; n_chars, where there is one, follows a part.
+    """
+    sizes = written(sized(docs), "sizes")
+    sources = written(targets(sizes), "sources")
+    return dealt(docs, pieces(passes(stream(sizes, sources)), shard_quotas(sources)), sources).select("row.*")
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as rows of docs: each document once per pass; in the last pass a source's last one may be cut short.
+    """The words of the mix as rows of docs, neither dealt to shards nor shuffled: each document once per pass; in the
+    last pass a source's last one may be cut short.
 
     Other columns stay; n_chars, where there is one, follows the text that was cut.
     """
@@ -190,8 +250,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = written(sized(docs), "sizes")
     sources = written(targets(sizes), "sources")
     rows = written(stream(sizes, sources), "stream")
-    drawn = pieces(passes(rows), shard_quotas(sources)).groupBy("sno", "start").agg(F.sum("n_words").alias("taken"))
-    drawn = drawn.select(F.col("sno").alias("d_sno"), F.col("start").alias("d_start"), "taken")
+    mix = dealt(docs.select("doc_id", "text", "source"), pieces(passes(rows), shard_quotas(sources)), sources)
+    mix = written(mix.select("shard", "turn", "sno", "block", "pass", "start", "row.doc_id", "row.text"), "mix", compression="zstd")
+    released(spark)
+    drawn = mix.groupBy(F.col("sno").alias("d_sno"), F.col("start").alias("d_start")).agg(F.sum(F.regexp_count("text", F.lit(WORD))).alias("taken"))
     hit = (F.col("sno") == F.col("d_sno")) & (F.col("start") == F.col("d_start")) & (F.col("size") > 0)
     return rows.join(drawn, hit, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 

@@ -248,3 +248,49 @@ def test_decontamination(spark, docs):
     assert clean.columns == rows.columns and {r["doc_id"] for r in clean.collect()} == {k for k in got if not got[k]["contaminated"]}
     assert decontaminate.find_contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
+
+
+def test_the_mix_is_written_in_shards_and_shuffled(spark, docs):
+    own = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("row", F.lit(1))
+    sizes = mixing.sized(own)
+    sources = mixing.targets(sizes).cache()
+    drawn = mixing.pieces(mixing.passes(mixing.stream(sizes, sources)), mixing.shard_quotas(sources))
+    got = mixing.dealt(own, drawn, sources).select("*", F.spark_partition_id().alias("at")).collect()
+    assert [r["at"] for r in got] == [r["shard"] for r in got] and len({r["shard"] for r in got}) == 16
+    order = [(r["shard"], r["turn"], r["sno"], r["block"], r["pass"], r["start"]) for r in got]
+    assert order == sorted(order) and [(s, b) for _, _, s, b, _, _ in order] != sorted((s, b) for _, _, s, b, _, _ in order)
+    words = Counter()
+    whole, parts = {r["doc_id"]: r["text"] for r in own.collect()}, {}
+    for r in got:
+        n = len(re.findall(mixing.WORD, r["row"]["text"]))
+        assert n == r["n_words"] and r["row"]["n_chars"] == len(r["row"]["text"])
+        words[r["sno"]] += n
+        parts.setdefault((r["sno"], r["start"], r["pass"]), []).append((r["first_word"], r["row"]["doc_id"], r["row"]["text"]))
+    assert words == {r["sno"]: r["quota_words"] for r in sources.collect()}
+    joined = [(p[0][1], "".join(t for _, _, t in sorted(p))) for p in parts.values()]
+    assert sum(t != whole[d] for d, t in joined) <= len(words) and all(whole[d].startswith(t) for d, t in joined)
+    assert any(len(p) > 1 for p in parts.values())
+    rows = mixing.sharded_documents(own)
+    assert rows.columns == own.columns and sorted((r["doc_id"], r["text"]) for r in rows.collect()) == sorted((r["row"]["doc_id"], r["row"]["text"]) for r in got)
+    assert mixing.sharded_documents(docs.limit(0)).count() == 0
+    import corpus_pipeline
+
+    assert sorted(map(str, corpus_pipeline.mix(spark, own, "").collect())) == sorted(map(str, rows.collect()))
+
+
+def test_draws_over_many_blocks_follow_the_hypergeometric_law(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SEED", "law")
+    seen = {}
+    for exact in (0, 1 << 40):
+        monkeypatch.setattr(mixing, "EXACT_DRAWS", exact)
+        draws = []
+        for k in range(60):
+            monkeypatch.setattr(mixing, "SEED", f"law-{k}")
+            sources = spark.createDataFrame([(1, 300 * 1024), (2, 500 * 1024), (3, 5 * 1024)], "sno long, quota_words long")
+            cuts = {r["sno"]: r["cuts"] for r in mixing.shard_quotas(sources, levels=1).collect()}
+            assert [cuts[s][-1] for s in (1, 2, 3)] == [300, 500, 5] and sum(c[0] for c in cuts.values()) == 403
+            draws.append((cuts[1][0], cuts[3][0]))
+        seen[exact] = np.asarray(draws)
+    # Of 805 blocks, 403 go left: 300 have a mean of 150.2 and a deviation of 6.9; 5 have 2.5 and 1.1.
+    for x in seen.values():
+        assert abs(x.mean(0) - [150.2, 2.5]).max() < 4 and 5 < x[:, 0].std() < 9 and 0.8 < x[:, 1].std() < 1.5
