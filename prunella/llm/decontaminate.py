@@ -1,7 +1,9 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of all test items.
+"""Benchmark decontamination: Aho-Corasick automata over the normalised windows of all test items.
 
-Texts are normalised by lower-casing A-Z and replacing what is no word by one blank; the automaton runs over that once
-per text, and its matches are mapped back to character offsets of the original.
+Texts are normalised by lower-casing A-Z and replacing what is no word by one blank; an automaton runs over that once
+per text, and its matches are mapped back to character offsets of the original.  A benchmark of more than ITEM_CHARS
+characters is cut into parts with an automaton each; of a text, the hit words of all parts count together, and so do the
+items, before it is decided.
 
 Defined cases: a null or empty text has no words and no hits; an item without words matches nothing; repeated item rows
 count once per item_id; items with a null id or null text are ignored; an empty benchmark leaves all documents clean.
@@ -10,6 +12,7 @@ Columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import ahocorasick
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prunella.llm.common import small_batches, table, word_bounds
+from prunella.llm.common import small_batches, table, word_bounds, written
 
 WINDOW = 13
 #: A document is contaminated when at least one word in this many is hit.
@@ -26,6 +29,8 @@ SHARE = 20
 #: Characters of test items in one automaton (each character is in up to WINDOW patterns).
 ITEM_CHARS = 4_000_000
 
+#: A word of the original text.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Maps A-Z to a-z and every ASCII character that is no letter or digit to a blank; other bytes stay.
 NORMAL = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -90,13 +95,28 @@ def hits(text: str, auto) -> tuple[int, np.ndarray, set, list]:
     return len(words), hit, items, spans
 
 
-def fetched(benchmark: DataFrame) -> list[tuple[int, str]]:
-    """The usable items.  A stated query set whose characters are counted before it is fetched."""
+def fetched(benchmark: DataFrame, width: int = WINDOW) -> list[list[tuple[int, str]]]:
+    """The usable items, in parts of about ITEM_CHARS characters; an item that is longer is in several, by its windows."""
     usable = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    size = usable.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()["c"]
-    if size > ITEM_CHARS:
-        raise ValueError(f"{size} characters of test items; an automaton takes {ITEM_CHARS}: pass the benchmark in parts")
-    return sorted((r["item_id"], r["text"]) for r in usable.collect())
+    parts, size = [[]], 0
+    for item, text in sorted((r["item_id"], r["text"]) for r in usable.collect()):
+        for piece in _cut(text, width):
+            if parts[-1] and size + len(piece) > ITEM_CHARS:
+                parts.append([])
+                size = 0
+            parts[-1].append((item, piece))
+            size += len(piece)
+    return parts
+
+
+def _cut(text: str, width: int) -> list[str]:
+    """The text, or pieces of about ITEM_CHARS characters that have all its windows together."""
+    if len(text) <= ITEM_CHARS:
+        return [text]
+    words = text.encode().translate(NORMAL).split()
+    step = max(1, ITEM_CHARS * len(words) // len(text.encode()) - width + 1)
+    last = max(1, len(words) - width + 1)
+    return [b" ".join(words[i : min(i + step, last) + width - 1]).decode() for i in range(0, last, step)]
 
 
 def _each(texts: list[str], items: list[tuple[int, str]], width: int, share: int):
@@ -111,10 +131,73 @@ def _each(texts: list[str], items: list[tuple[int, str]], width: int, share: int
         yield words, n, sorted(ids), [{"start": a, "end": b} for a, b in spans], n > 0 and share * n >= words
 
 
+def _row() -> list:
+    """doc_id and k: what rows with equal id and text have in common."""
+    return [F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k")]
+
+
+def _found(docs: DataFrame, parts: list[list[tuple[int, str]]], width: int, share: int) -> DataFrame:
+    """r_id, r_k, n_hit, items, spans and contaminated of the texts that any part of the items hits; a pass for each part.
+
+    A worker has one automaton at a time, and what a pass leaves are the rows with hits, without their texts.
+    """
+    passes = []
+    for items in parts:
+
+        def scan(batches, items=items):
+            auto, any_pattern = automaton(items, width)
+            for batch in batches:
+                rows = []
+                for i, text in enumerate(batch.column("text").fill_null("").to_pylist() if any_pattern else []):
+                    words, hit, ids, spans = hits(text, auto)
+                    if spans:
+                        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).reshape(-1, 2).tolist()
+                        rows.append((i, words, sorted(ids), [[*e, *x] for e, x in zip(edge, spans, strict=True)]))
+                at = pa.array([r[0] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(at), batch.column("k").take(at), pa.array([r[1] for r in rows], pa.int64()),
+                     pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.list_(pa.int32())))],
+                    ["doc_id", "k", "n_words", "items", "runs"],
+                )
+
+        rows = docs.select(*_row(), "text").mapInArrow(scan, "doc_id long, k string, n_words long, items array<long>, runs array<array<int>>")
+        passes.append(written(rows.dropDuplicates(["doc_id", "k"]), "hits"))
+    each = functools.reduce(DataFrame.union, passes).groupBy("doc_id", "k").agg(
+        F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"),
+    )
+
+    def join_runs(batches):
+        for batch in batches:
+            counts, spans, bad = [], [], []
+            for words, runs in zip(batch.column("n_words").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                out = []
+                for first, end, start, stop in runs:
+                    if out and first <= out[-1][1]:
+                        out[-1][1], out[-1][3] = max(out[-1][1], end), max(out[-1][3], stop)
+                    else:
+                        out.append([first, end, start, stop])
+                counts.append(sum(r[1] - r[0] for r in out))
+                spans.append([{"start": r[2], "end": r[3]} for r in out])
+                bad.append(share * counts[-1] >= words)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("k"), pa.array(counts, pa.int64()), batch.column("items"),
+                 pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(bad, pa.bool_())],
+                ["r_id", "r_k", "n_hit", "items", "spans", "contaminated"],
+            )
+
+    return each.mapInArrow(join_runs, SCHEMA.replace("doc_id long, n_words long", "r_id long, r_k string"))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = SHARE) -> DataFrame:
     """Per document: n_words, n_hit, items (sorted ids), spans (hit runs in the original text), contaminated."""
     small_batches(docs.sparkSession)
-    items = fetched(benchmark)
+    items, *more = fetched(benchmark, width)
+    if more:
+        rows = docs.select(*_row(), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+        rows = rows.join(_found(docs, [items, *more], width, share), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("k") == F.col("r_k")), "left")
+        none = {"n_hit": "0L", "items": "cast(array() as array<long>)", "spans": "cast(array() as array<struct<start:int,end:int>>)", "contaminated": "false"}
+        return rows.select("doc_id", "n_words", *(F.expr(f"coalesce({c}, {x})").alias(c) for c, x in none.items()))
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.bool_()]
 
     def scan(batches):
@@ -132,7 +215,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = SHARE) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
     small_batches(docs.sparkSession)
-    items = fetched(benchmark)
+    items, *more = fetched(benchmark, width)
+    if more:
+        bad = _found(docs, [items, *more], width, share).where("contaminated").select("r_id", "r_k")
+        rows = docs.select(F.struct(*docs.columns).alias("row"), *_row())
+        rows = rows.join(bad, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("k") == F.col("r_k")), "left_anti")
+        return rows.select("row.*")
 
     def clean(batches):
         for batch in batches:

@@ -294,3 +294,22 @@ def test_draws_over_many_blocks_follow_the_hypergeometric_law(spark, monkeypatch
     # Of 805 blocks, 403 go left: 300 have a mean of 150.2 and a deviation of 6.9; 5 have 2.5 and 1.1.
     for x in seen.values():
         assert abs(x.mean(0) - [150.2, 2.5]).max() < 4 and 5 < x[:, 0].std() < 9 and 0.8 < x[:, 1].std() < 1.5
+
+
+def test_a_large_benchmark_is_scanned_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    pick = lambda n: " ".join(rng.choice(["Alpha", "beta", "Über", "x1", "naïve"]) for _ in range(n))
+    items = [(k, pick(rng.choice([2, 5, 13, 20, 90]))) for k in range(14)] + [(51, "..."), (51, "...," * 200)]
+    texts = [pick(30) + "; " + items[k % 14][1].upper() + " " + items[k * 5 % 14][1] + " " + pick(rng.randint(0, 400)) for k in range(30)] + TEXTS
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, t, 1) for k, t in enumerate(texts)]
+    rows = spark.createDataFrame(rows + rows[:2] + [(None, texts[3], 1), (0, texts[4], 1)], "doc_id long, text string, k int")
+    whole = [decontaminate.find_contamination(rows, bench).collect(), decontaminate.clean_documents(rows, bench).collect()]
+    monkeypatch.setattr(decontaminate, "ITEM_CHARS", 150)
+    assert len(decontaminate.fetched(bench)) > 5
+    parts = [decontaminate.find_contamination(rows, bench).collect(), decontaminate.clean_documents(rows, bench).collect()]
+    assert any(r["contaminated"] for r in parts[0]) and not all(r["contaminated"] for r in parts[0])
+    assert [sorted(map(str, x)) for x in parts] == [sorted(map(str, x)) for x in whole]
+    for r in parts[0]:
+        if r["doc_id"] not in (0, None):
+            assert (r["n_words"], r["n_hit"], r["items"]) == brute_hits(texts[r["doc_id"]], items)
