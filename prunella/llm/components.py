@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prunella.llm.common import written
 
-#: Rounds after which the loop gives up; each at least halves the depth of the trees.
+#: Rounds after which the loop fails; each at least halves the depth of the trees.
 MAX_ROUNDS = 60
 
 
@@ -42,5 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         mark = (stat["n"], stat["h"])
         now = written(_round(now), "edges")
+    else:
+        raise ArithmeticError(f"components still change after {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
