@@ -11,7 +11,7 @@ through hubs (see linking), behind a filter that loses no link: the parities of
 most as often as the sets do.  All candidates are verified on their sets.
 
 Defined cases: texts without words (and nulls) have an empty set, link with nothing and are their own component; fewer
-words than a shingle make one shingle of the whole sequence; rows that repeat a doc_id each come back; a row with a null
+words than a shingle make one shingle of the whole sequence; rows that repeat a doc_id each come back, by their own text; a row with a null
 doc_id takes part by its text and gets the least id of its group that is not null, or null.  Columns besides doc_id and
 text are not read.
 """
@@ -22,7 +22,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prunella.llm.common import (
@@ -136,12 +136,17 @@ def sketches(sets: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return [np.ascontiguousarray(packed[:, j]) for j in range(SKETCH_WORDS)]
 
 
+def row_key() -> Column:
+    """What rows with equal id (or none) and equal text have in common."""
+    return F.xxhash64("doc_id", "text")
+
+
 KEY, CHECK = 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03
 SKETCH = [f"s{j}" for j in range(SKETCH_WORDS)]
 
 
 def set_features(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, key (hash of the set), check (another) and sketch words of each row."""
+    """doc_id, rk, n_shingles, key (hash of the set), check (another) and sketch words of each row."""
 
     def features(batches):
         for batch in batches:
@@ -149,13 +154,14 @@ def set_features(docs: DataFrame, width: int) -> DataFrame:
                 sets, first = shingle_sets(buf, off, width)
                 key, check = (_set_hash(sets, first, c) for c in (KEY, CHECK))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(first)), pa.array(key), pa.array(check)]
+                    [batch.column("doc_id").slice(a, b - a), batch.column("rk").slice(a, b - a), pa.array(np.diff(first)), pa.array(key), pa.array(check)]
                     + [pa.array(x) for x in sketches(sets, first)],
-                    ["doc_id", "n_shingles", "key", "check", *SKETCH],
+                    ["doc_id", "rk", "n_shingles", "key", "check", *SKETCH],
                 )
 
     words = ", ".join(f"{s} long" for s in SKETCH)
-    return docs.select("doc_id", "text").mapInArrow(features, f"doc_id long, n_shingles long, key long, check long, {words}")
+    rows = docs.select("doc_id", "text", row_key().alias("rk"))
+    return rows.mapInArrow(features, f"doc_id long, rk long, n_shingles long, key long, check long, {words}")
 
 
 def signed_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -188,8 +194,8 @@ def _set_hash(sets: np.ndarray, first: np.ndarray, c: int) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(key, elements, wide) of the classes in wanted (key, doc_id), recomputed from their texts."""
-    rows = docs.select("doc_id", "text").join(light(wanted), "doc_id")
+    """(key, elements, wide) of the classes in wanted (key, rk), recomputed from the text of that row."""
+    rows = docs.select(row_key().alias("rk"), "text").join(light(wanted), "rk")
 
     def elements(batches):
         for batch in batches:
@@ -197,14 +203,16 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets, first = shingle_sets(buf, off, width)
                 wide = parities(sets, first, WIDE_WORDS).ravel()
                 ends = np.arange(b - a + 1, dtype=np.int32) * WIDE_WORDS
+                keys = batch.column("key").slice(a, b - a)
+                own = pa.array(_set_hash(sets, first, KEY) == keys.to_numpy())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("key").slice(a, b - a),
+                        keys,
                         pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(wide)),
                     ],
                     ["key", "elements", "wide"],
-                )
+                ).filter(own)
 
     return rows.select("key", "text").mapInArrow(elements, "key long, elements array<long>, wide array<long>").dropDuplicates(["key"])
 
@@ -212,7 +220,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) of classes whose sets are similar enough; only sets of classes in pairs are built."""
     keys = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-    sets = written(_sets_of(docs, written(keys.join(info.select("key", "doc_id"), "key"), "wanted"), width), "sets")
+    sets = written(_sets_of(docs, written(keys.join(info.select("key", "rk"), "key"), "wanted"), width), "sets")
     # First the wide sketches of both sides, then the sets of what is left: a pair of long texts is large.
     few = light(pairs)
     left = sets.select(F.col("key").alias("u"), F.size("elements").alias("n"), F.col("wide").alias("x")).join(few, "u")
@@ -242,15 +250,13 @@ def _compare(percent: int):
     return compare
 
 
-def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The features of the rows of docs, and key, doc_id (the least) and g (the group) of each class of equal sets."""
+    small_batches(docs.sparkSession)
     rows = written(set_features(docs, width), "features")
-    worded = rows.where("n_shingles > 0")
-    info = worded.groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"),
-        *(F.first(s).alias(s) for s in SKETCH),
+    info = rows.where("n_shingles > 0").groupBy("key").agg(
+        F.min("doc_id").alias("doc_id"), F.min("rk").alias("rk"), F.first("n_shingles").alias("n"),
+        F.min("check").alias("low"), F.max("check").alias("high"), *(F.first(s).alias(s) for s in SKETCH),
     )
     info = written(info, "classes")
     if info.where("low != high").limit(1).count():
@@ -258,25 +264,37 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     members = shared_signatures(signed_sets(docs, width, percent))
     shared = written(shared_items(members).join(info, "key"), "shared-classes")
     groups = linked_groups(members, shared, ["n", *SKETCH], _compare(percent), lambda pairs: _verified(docs, shared, pairs, width, percent))
+    return rows, info.select("key", "doc_id").join(groups, "key", "left").select("key", "doc_id", F.coalesce("g", "key").alias("g"))
+
 
+def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
+    rows, whole = _grouped(docs, width, percent)
     # From classes to rows: the least doc_id of a group of classes.
-    whole = info.select("key", "doc_id").join(groups, "key", "left").select("key", "doc_id", F.coalesce("g", "key").alias("g"))
     least = whole.groupBy("g").agg(F.min("doc_id").alias("least"))
     named = whole.join(least, "g").select("key", F.col("least").alias("component_id"))
     # A hot class of copies makes this join uneven; AQE splits its partition.
-    linked = worded.select("doc_id", "n_shingles", "key").join(named, "key").select("doc_id", "n_shingles", "component_id")
+    linked = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "key").join(named, "key").select("doc_id", "n_shingles", "component_id")
     return linked.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that remain when one document of each group stays: that with the least id.
+    """The rows of docs that remain when one row of each group stays: that with the least id, one with a null id last.
 
-    Documents without words stay, and so do rows whose group has no id to name; a repeated row of a kept id stays once.
+    Rows without words stay, but for repeated rows of an id, of which one does.
     """
-    kept = jaccard_groups(docs, width, percent).where("doc_id <=> component_id").select("doc_id").distinct()
-    few = kept.where("doc_id is not null")
-    once = docs.join(few, "doc_id", "left_semi").select(docs.columns)
-    return once.union(docs.where("doc_id is null").select(docs.columns))
+    rows, whole = _grouped(docs, width, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")
+    first = rows.where("n_shingles > 0").groupBy("key").agg(F.min(order).alias("f")).join(whole.select("key", "g"), "key")
+    first = first.groupBy("g").agg(F.min("f").alias("f")).select("f.rk")
+    bare = rows.where("n_shingles = 0 and doc_id is not null").select("rk").distinct()
+    again = rows.where("n_shingles > 0 or doc_id is not null").groupBy("rk").agg(F.count("*").alias("n")).where("n > 1")
+    kept = written(first.union(bare).join(again, "rk", "left").select("rk", F.col("n").isNotNull().alias("many")), "kept")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("rk"))
+    out = keyed.join(light(kept.where("not many").select("rk")), "rk", "left_semi").select("row.*")
+    # Only rows that are repeated are shuffled to keep one of each.
+    many = keyed.join(light(kept.where("many").select("rk")), "rk", "left_semi").dropDuplicates(["rk"]).select("row.*")
+    return out.union(many).union(docs.where(F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 import xxhash
@@ -156,3 +157,22 @@ def test_queries_are_native(spark, tmp_path):
 def test_sizes_are_bounded_by_counts(spark):
     docs = spark.range(5).select(F.col("id").alias("doc_id"), F.lit("same text here for all").alias("text"))
     assert {r["component_id"] for r in jaccard_groups(docs).collect()} == {0}
+
+
+def test_rows_without_an_id_or_with_that_of_another_text(spark):
+    base = [f"q{k}" for k in range(200)]
+    near = lambda k: " ".join(base[:k] + ["other"] + base[k + 1 :])
+    far = " ".join(f"z{k}" for k in range(200))
+    rows = [
+        (5, near(50)), (None, near(90)), (None, near(90)), (7, near(130)), (7, far), (7, far), (9, far + " more"), (None, "alone here"), (None, "alone here"),
+        (11, ""), (11, ""), (None, ""), (None, None), (12, near(10)), (12, "!"), (12, "!"),
+    ]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, rk long")
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard_groups(docs).collect())
+    assert got == Counter([(5, 5), (None, 5), (None, 5), (7, 5), (7, 7), (7, 7), (9, 7), (None, None), (None, None), (11, 11), (11, 11), (None, None), (None, None), (12, 5), (12, 12), (12, 12)])
+    kept = deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(5, near(50)), (7, far), (None, "alone here"), (11, ""), (None, ""), (None, None), (12, "!")])
+    # Without an id in the group, one row stays.
+    none = spark.createDataFrame([(None, near(20)), (None, near(60)), (None, near(60))], "doc_id long, text string")
+    assert deduplicated(none).count() == 1
