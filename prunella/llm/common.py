@@ -105,8 +105,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: pa.Array):
-    """Yield (first row, last row, bytes, offsets) over slices of a string column; nulls count as empty."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES):
+    """Yield (first row, last row, bytes, offsets) over slices of a string column of about size bytes; nulls count as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_string())
@@ -115,7 +115,7 @@ def slices(texts: pa.Array):
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     a, n = 0, len(texts)
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + SLICE_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
         yield a, b, data[off[a] : off[b]], (off[a : b + 1] - off[a]).astype(np.int64)
         a = b
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import shutil
 import zlib
 from collections import Counter
 
@@ -205,13 +206,39 @@ def test_token_files(spark, docs, tmp_path):
     assert tokens.encoded(docs.limit(0), path).count() == 0
 
 
-def test_chunks_give_the_ids_of_whole_texts():
+def _rows(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_give_the_ids_of_whole_texts(name, monkeypatch):
     rng = random.Random(3)
-    letters = " \n\t'aéß1２²_ -.  　\x1c\x85ſ́漢😀s't"
+    letters = " \n\t'aéß1２²_ -.  　\x1c\x85ſ́漢😀s't"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
-    coder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    want = [np.asarray(coder.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert coder.batch(texts) == want
+    texts += ["it's,we'll.'s 's!'s", "<|endoftext|>", "a <|endoftext|> b", " a.b,c" * 300, "word " * 9000, ""]
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 1 << 14)  # so small that the table starts anew
+    coder = tokens.Encoder(public_tokenizers.path(name))
+    assert coder.by_chunk == (name == "byte_bpe_50k.json")
+    want = [coder.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        for a in range(0, len(texts), 500):
+            ids, n = coder.rows(*_rows(texts[a : a + 500]))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want[a : a + 500]
+
+
+def test_files_beyond_five_digits_keep_their_order(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for k, number in enumerate((7, 99999, 100000, 100001)):
+        own = spark.createDataFrame([(k, f"text number {k}" * (k + 1))], "doc_id long, text string")
+        tokens.write_tokens(own, f"file://{tmp_path}/one", path)
+        made = next(f for f in (tmp_path / "one").glob("part-*.parquet") if pq.read_metadata(f).num_rows)
+        (tmp_path / "all").mkdir(exist_ok=True)
+        made.rename(tmp_path / "all" / f"part-{number:05d}-x.zstd.parquet")
+        shutil.rmtree(tmp_path / "one")
+    got = tokens.token_digests(spark, f"file://{tmp_path}/all").orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [0, 1, 2, 3]
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
 
 
 def brute_hits(text, items):
