@@ -26,11 +26,15 @@ from prunella.llm.common import table, written
 KEY = "prunella-surrogates"
 #: Turns of the collision check; each leaves a fraction of the collisions of the one before.
 MAX_TURNS = 30
-#: Rows with entities below this count go to all executors; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Up to so many mentions (each at most some hundred bytes, by the patterns) go to all executors; more are joined by a shuffle.
+BROADCAST_MENTIONS = 100_000
 
 # Titles with the gender of the given name that follows, and names by gender and script.
-TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία")}
+TITLES = {
+    "m": ("Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος"),
+    "f": ("Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta", "Doña", "Госпожа", "Κυρία"),
+    "": ("Dr", "Prof", "Professor", "Professorin", "Доктор", "Δρ"),
+}
 NAMES = {
     ("given_m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Lukas Martin Noel Oscar Paul Robin Simon Tomas Victor",
     ("given_f", "latin"): "Alma Berta Clara Diana Elena Flora Greta Helena Irma Julia Karla Lea Maria Nora Olga Paula Rosa Sofia Tina Vera",
@@ -80,7 +84,10 @@ def mentions(docs: DataFrame) -> DataFrame:
     some = docs.where(F.col("text").rlike(HINT)).select(row_key().alias("rk"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("m"))
     one = some.where(F.size("m") > 0).select("rk", F.posexplode("m").alias("pos", "m")).withColumn("kind", kind_of(F.col("m")))
     words = F.split("m", " ")
-    gender = F.when(F.col("m").rlike(rf"^(?:{'|'.join(TITLES['m'])})\.? "), "given_m").otherwise("given_f")
+    said = lambda own: F.col("m").rlike(rf"^(?:{'|'.join(TITLES[own])})\.? ")
+    # A title for all goes with the gender of a known given name.
+    women = [n.lower() for (kind, _), names in NAMES.items() if kind == "given_f" for n in names.split()]
+    gender = F.when(said("m") | said("") & ~F.lower(F.try_element_at(words, F.lit(2))).isin(women), "given_m").otherwise("given_f")
     part = lambda kind, norm, lead: F.struct(kind.alias("kind"), norm.alias("norm"), lead.alias("lead"))
     surname = F.lit("surname")
     named = F.when(
@@ -96,8 +103,8 @@ def mentions(docs: DataFrame) -> DataFrame:
 def _keyed(norm: str, alphabet: str, keep: str = "false") -> str:
     """SQL: norm with each digit and letter replaced by one the key draws; `keep` tells characters (c at i) that stay."""
     v = "cast(conv(substr(h, 2 * (i % 64) + 1, 2), 16, 10) as int)"
-    letters = f"""CASE WHEN c BETWEEN 'а' AND 'я' THEN substr('{CYRILLIC}', {v} % {len(CYRILLIC)} + 1, 1)
-        WHEN c BETWEEN 'α' AND 'ω' THEN substr('{GREEK}', {v} % {len(GREEK)} + 1, 1)
+    letters = f"""CASE WHEN c RLIKE '[\\\\p{{IsCyrillic}}]' THEN substr('{CYRILLIC}', {v} % {len(CYRILLIC)} + 1, 1)
+        WHEN c RLIKE '[\\\\p{{IsGreek}}]' THEN substr('{GREEK}', {v} % {len(GREEK)} + 1, 1)
         WHEN c RLIKE '[\\\\p{{L}}]' THEN substr('{LATIN}', {v} % 26 + 1, 1) ELSE c END"""
     if alphabet == "hex":
         letters = f"CASE WHEN c BETWEEN 'a' AND 'f' THEN substr('0123456789abcdef', {v} % 16 + 1, 1) ELSE {letters} END"
@@ -146,13 +153,16 @@ def surrogates(entities: DataFrame) -> DataFrame:
         own = F.array(*(F.lit(n.lower()) for n in names.split()))
         pick = _picked(own, times)
         name = F.when((F.col("kind") == kind) & (F.col("script") == s), F.array_join(pick, "-")).otherwise(name)
+    # A format that has few surrogates, or none but itself, grows by characters: one more every four attempts.
+    more = "substr(translate(sha2(concat('more|', h), 256), '0123456789', {to}), 1, attempt div 4)"
+    letters, digits = more.format(to="'ghijklmnop'"), f"translate({more.format(to=chr(39) + '0123456789' + chr(39))}, 'abcdef', '012345')"
     sur = (
-        F.when(F.col("kind") == "secret", F.expr(_keyed("norm", "hex")))
-        .when(F.col("kind") == "email", F.expr(email))
+        F.when(F.col("kind") == "secret", F.expr(f"concat({_keyed('norm', 'hex')}, {digits})"))
+        .when(F.col("kind") == "email", F.expr(f"concat({letters}, {email})"))
         .when(F.col("kind") == "ip", F.expr(octets))
-        .when(F.col("kind") == "phone", F.expr(_keyed("norm", "text", f"i < {code}")))
-        .when(F.col("kind") == "card", card)
-        .when(F.col("kind") == "ssn", F.expr(_keyed("norm", "text")))
+        .when(F.col("kind") == "phone", F.expr(f"concat({_keyed('norm', 'text', f'i < {code}')}, {digits})"))
+        .when(F.col("kind") == "card", F.concat(card, F.expr(digits)))
+        .when(F.col("kind") == "ssn", F.expr(f"concat({_keyed('norm', 'text')}, {digits})"))
         .otherwise(name)
     )
     return rows.select("kind", "norm", "attempt", sur.alias("sur"))
@@ -185,7 +195,7 @@ def pseudonymised(docs: DataFrame) -> DataFrame:
     # Rows equal in id and text have equal mentions: a set keeps one of each.
     rows = said.groupBy("rk").agg(F.sort_array(F.collect_set(F.struct("pos", "part", "said"))).alias("said"))
     rows = written(rows, "said")
-    few = rows.count() <= BROADCAST_ROWS
+    few = (rows.agg(F.sum(F.size("said"))).first()[0] or 0) <= BROADCAST_MENTIONS
     both = docs.select("doc_id", "text", row_key().alias("rk")).join(F.broadcast(rows) if few else rows, "rk", "left")
     both = both.withColumn("gaps", F.when(F.col("said").isNotNull(), F.split("text", PATTERN)))
     one = "array_join(transform(filter(said, s -> s.pos = i), s -> s.said), '')"

@@ -340,3 +340,16 @@ def test_a_large_benchmark_is_scanned_in_parts(spark, monkeypatch):
     for r in parts[0]:
         if r["doc_id"] not in (0, None):
             assert (r["n_words"], r["n_hit"], r["items"]) == brute_hits(texts[r["doc_id"]], items)
+
+
+def test_formats_that_are_used_up_grow_and_scripts_stay(spark):
+    texts = ["mail _@-.com now", "ёж@a.ru", " ".join(f"{chr(97 + k)}@b.c" for k in range(26)), "call +12345 or +12346 now", "Dr. Maria Smith, Prof John Brown", None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] * 2, "doc_id long, text string")
+    rows = pii.pseudonymised(docs).collect()
+    got = {r["doc_id"]: r["text"] for r in rows}
+    assert len(rows) == 12 and len({(r["doc_id"], r["text"]) for r in rows}) == 6 and got[5] is None
+    assert got[0].endswith("_@-.com now") and got[0] != texts[0]
+    assert re.fullmatch(r"[а-яё]{2}@[a-z]\.ru", got[1])
+    mails = got[2].split()
+    assert len(set(mails)) == 26 and not set(mails) & set(texts[2].split())
+    assert len(set(re.findall(r"\+\d+", got[3]))) == 2 and not re.search("Maria|Smith|John|Brown", got[4])
