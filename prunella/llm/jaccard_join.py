@@ -28,10 +28,14 @@ from pyspark.sql import functions as F
 from prunella.llm.common import (
     LOWER, mix, released, row_of, row_sums, slices, small_batches, span_hashes, table, windows, word_bounds, written,
 )
-from prunella.llm.linking import light, linked_groups, shared_items, shared_signatures
+from prunella.llm.linking import light, linked_groups, shared_items, shared_signatures, without_frequent
 
 #: Growth of set sizes from one band to the next.
 BAND_GROWTH = 1.4
+#: Twice one part in so many is there to spare: that many more signatures agree, so a set may leave out as many.
+SPARE_SHARE = 8
+#: Low bits of a signature that tell its tag; the next bit tells that it is one of emptiness.
+TAG_BITS = 7
 #: 64-bit words of a parity sketch, and of the wide one that candidate pairs are looked at with before their sets.
 SKETCH_WORDS = 32
 WIDE_WORDS = 128
@@ -68,24 +72,34 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int):
     return win, np.searchsorted(rows, np.arange(len(off)))
 
 
+def differences(percent: int) -> np.ndarray:
+    """In how many elements similar sets of each tag differ at most: together they have at most 2 * top elements."""
+    top = bands()[1:] - 1
+    return (2 * top * (100 - percent)) // (100 + percent)
+
+
+def spare_matches(percent: int) -> list[int]:
+    """Of each tag, half the number of parts to spare: so many signatures of emptiness, and so many others, may be left out."""
+    return (differences(percent) // (2 * SPARE_SHARE) + 1).tolist()
+
+
 def signatures(sets: np.ndarray, first: np.ndarray, percent: int):
-    """PartEnum signatures of each row's set, and where each row's begin."""
+    """PartEnum signatures of each row's set, and where each row's begin; the low bits of a signature are its tag."""
     n = np.diff(first)
-    low = bands()
+    low, most = bands(), differences(percent)
+    spare_of = np.asarray(spare_matches(percent))
     band = np.searchsorted(low, n, "right") - 1
     found, owner = [], []
     for ahead in (0, 1):
-        tag = band + ahead
-        use = n > 0 if not ahead else (n > 0) & (100 * n >= percent * low[np.minimum(tag, len(low) - 1)])
+        tag = np.minimum(band + ahead, len(most) - 1)
+        use = (n > 0) & (most[tag] > 0)  # else only equal sets are similar
+        if ahead:
+            use &= 100 * n >= percent * low[tag]
         rows = np.flatnonzero(use)
         if not len(rows):
             continue
-        # Similar sets of a tag have at most 2 * top elements together, so differ in at most this many.
-        top = low[tag[rows] + 1] - 1
-        k = (2 * top * (100 - percent)) // (100 + percent)
-        parts = k // 2 + 1
-        slack = 1 + parts // 20
-        parts = parts + slack
+        spare = spare_of[tag[rows]]
+        parts = most[tag[rows]] // 2 + 1 + 2 * spare
         base = np.zeros(len(rows) + 1, np.int64)
         base[1:] = np.cumsum(parts)
         size = n[rows]
@@ -98,17 +112,25 @@ def signatures(sets: np.ndarray, first: np.ndarray, percent: int):
         np.add.at(total, cell, mix(h ^ np.uint64(0xA24BAED4963EE407)))
         bare = (np.bincount(cell, minlength=3 * base[-1]) == 0).reshape(-1, 3)
         total = total.reshape(-1, 3)
-        # Of two similar sets, more than `slack` parts agree in a pair of sub-parts.  If no more than `slack` parts of a
-        # set have an empty pair, one agreeing pair is not empty: such sets need no signatures of emptiness.
-        poor = row_sums((bare.sum(1) >= 2).astype(np.int64), base) > slack
-        poor = np.repeat(poor, parts)
-        number = _ramp(parts).astype(np.uint64)
-        salt = mix(np.repeat(tag[rows], parts).astype(np.uint64) * np.uint64(1 << 40) + number)
+        tags = np.repeat(tag[rows], parts).astype(np.uint64)
+        salt = mix(tags * np.uint64(1 << 40) + _ramp(parts).astype(np.uint64))
+        sign, of = [], []
         for a, b in ((0, 1), (0, 2), (1, 2)):
-            sign = poor | ~(bare[:, a] & bare[:, b])
             both = mix(mix(total[:, a] + salt) + total[:, b] * np.uint64(3) + np.uint64(10 * a + b))
-            found.append(both[sign])
-            owner.append(np.repeat(rows, parts)[sign])
+            empty = (bare[:, a] & bare[:, b]).astype(np.uint64)
+            sign.append((both << np.uint64(TAG_BITS + 1)) | (empty << np.uint64(TAG_BITS)) | tags)
+            of.append(np.repeat(np.arange(len(rows)), parts))
+        sign, of = np.concatenate(sign), np.concatenate(of)
+        # Of two similar sets, more than 2 * spare pairs of sub-parts agree.  In an order that all sets share, each may
+        # leave out its last ones: first signatures of emptiness, then (see without_frequent) frequent ones.
+        bare_at = np.flatnonzero(sign & np.uint64(1 << TAG_BITS))
+        bare_at = bare_at[np.lexsort((~sign[bare_at], of[bare_at]))]
+        row = of[bare_at]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = np.ones(len(sign), bool)
+        keep[bare_at[rank < spare[row]]] = False
+        found.append(sign[keep])
+        owner.append(rows[of[keep]])
     if not found:
         return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
     found, owner = np.concatenate(found), np.concatenate(owner)
@@ -262,6 +284,9 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     if info.where("low != high").limit(1).count():
         raise ArithmeticError("two different sets share a 64-bit hash; change KEY")
     members = shared_signatures(signed_sets(docs, width, percent))
+    spare = F.array(*(F.lit(n) for n in spare_matches(percent)))
+    empty = F.col("sig").bitwiseAND(F.lit(1 << TAG_BITS)) != 0
+    members = without_frequent(members, F.col("sig").bitwiseAND(F.lit((1 << TAG_BITS) - 1)), spare, empty)
     shared = written(shared_items(members).join(info, "key"), "shared-classes")
     groups = linked_groups(members, shared, ["n", *SKETCH], _compare(percent), lambda pairs: _verified(docs, shared, pairs, width, percent))
     return rows, info.select("key", "doc_id").join(groups, "key", "left").select("key", "doc_id", F.coalesce("g", "key").alias("g"))

@@ -23,6 +23,9 @@ WORTHWHILE = 50
 #: Tables of ids with fewer rows than this (16 bytes each) go to all executors; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 250_000
 
+#: So many signatures of an item before one are looked at, not to compare a pair again.
+LAST_SIGNATURES = 8
+
 Compare = Callable[[str, str], tuple[Column, Column]]
 
 
@@ -32,21 +35,41 @@ def light(df: DataFrame) -> DataFrame:
 
 
 def shared_signatures(signed: DataFrame) -> DataFrame:
-    """(sig, key, hub): the items of each signature that different items share, but for its first item, the hub.
+    """(sig, key): the distinct items of each signature that different items share.
 
-    In the order of keys, the first item of a signature is its hub; rows stream by, none are held.
+    In the order of keys, the first item of a signature is told apart from the others; rows stream by, none are held.
     """
     bucket = Window.partitionBy("sig").orderBy("key")
     upto = bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = signed.select("sig", "key", F.lag("key").over(bucket).alias("before"), F.first("key").over(upto).alias("hub"))
-    out = written(rows.where("key != hub and before != key").select("sig", "key", "hub"), "shared")
+    rows = rows.where("key != hub and before != key")
+    keys = F.when(F.col("before") == F.col("hub"), F.array("hub", "key")).otherwise(F.array("key"))
+    out = written(rows.select("sig", F.explode(keys).alias("key")), "shared")
     del rows
     released(out.sparkSession)
     return out
 
 
+def without_frequent(members: DataFrame, tag: Column, spare: Column, last: Column) -> DataFrame:
+    """members without the signatures that each item may leave out: of each tag, its spare[tag] last ones in an order.
+
+    In the order, those marked `last` come after the others, and frequent ones after rare ones.  No link is lost where
+    linked items share more than spare[tag] signatures of some tag: of what they share, the first has at least spare[tag]
+    others behind it, for both of them.
+    """
+    often = members.groupBy("sig").agg(F.count("*").alias("f"))
+    rows = members.join(light(written(often, "frequencies")), "sig").withColumn("tag", tag)
+    place = F.when(last, F.lit((1 << 62))).otherwise(F.col("f"))
+    # Signatures count as unsigned numbers, in the signing task too.
+    unsigned = F.col("sig").bitwiseXOR(F.lit(-(1 << 63)))
+    rank = F.row_number().over(Window.partitionBy("key", "tag").orderBy(place.desc(), unsigned.desc()))
+    rows = written(rows.withColumn("rank", rank).where(F.col("rank") > spare[F.col("tag")]).select("sig", "key"), "rare")
+    several = rows.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
+    return written(rows.join(light(written(several, "several")), "sig", "left_semi"), "members")
+
+
 def shared_items(members: DataFrame) -> DataFrame:
-    return members.select("key").union(members.select(F.col("hub").alias("key"))).distinct()
+    return members.select("key").distinct()
 
 
 def _closest(pairs: DataFrame, info: DataFrame, compare: Compare) -> DataFrame:
@@ -80,13 +103,9 @@ def _regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 def _open(members: DataFrame, groups: DataFrame) -> DataFrame:
     """(sig, key, g) of the signatures whose items are in different groups."""
-    known = light(groups)
-    rows = members.join(known, "key").join(known.select(F.col("key").alias("hub"), F.col("g").alias("hg")), "hub")
-    rows = written(rows, "grouped")
-    differ = light(written(rows.where("g != hg").select("sig").distinct(), "open-sigs"))
-    rows = rows.join(differ, "sig")
-    hubs = rows.select("sig", F.col("hub").alias("key"), F.col("hg").alias("g")).distinct()
-    return written(rows.select("sig", "key", "g").union(hubs), "open")
+    rows = written(members.join(light(groups), "key").select("sig", "key", "g"), "grouped")
+    differ = rows.groupBy("sig").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("sig")
+    return written(rows.join(light(written(differ, "open-sigs")), "sig", "left_semi"), "open")
 
 
 def _links(verified: Callable[[DataFrame], DataFrame], pairs: DataFrame) -> DataFrame:
@@ -98,29 +117,31 @@ def _links(verified: Callable[[DataFrame], DataFrame], pairs: DataFrame) -> Data
 def linked_groups(
     members: DataFrame, info: DataFrame, columns: list[str], compare: Compare, verified: Callable[[DataFrame], DataFrame], turns: int = HUB_TURNS
 ) -> DataFrame:
-    """(key, g): the group of each item of members (sig, key, hub).
+    """(key, g): the group of each item of members (sig, key).
 
     info has the columns of the items that compare(left alias, right alias) needs: it gives a distance and whether a
     link is possible.  verified keeps the linked ones of pairs (u, v).
     """
     items = info.count()
     groups = info.select("key", F.col("key").alias("g"))
-    pairs = members.select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
-    live = None
+    live = _open(members, groups)
     for turn in range(turns):
-        links = _links(verified, _closest(pairs, info, compare))
+        links = _links(verified, _closest(_hubs(live, turn), info, compare))
         n = links.count()
-        if n or live is None:
+        if n:
             groups = _regrouped(groups, links)
             live = _open(members, groups)
-        if n * WORTHWHILE <= items or turn == turns - 1:
+        if n * WORTHWHILE <= items:
             break
-        pairs = _hubs(live, turn + 1)
     # What is left, so that no link is lost: items of one signature that are still in different groups.
-    rest = written(live.join(info.select("key", *columns), "key"), "rest")
+    # Items that share a signature among their last ones before this have met there; the first that they share stays.
+    before = Window.partitionBy("key").orderBy("sig").rowsBetween(-LAST_SIGNATURES, -1)
+    rest = live.withColumn("last", F.collect_list("sig").over(before))
+    rest = written(rest.join(info.select("key", *columns), "key"), "rest")
     _, may = compare("l", "r")
     apart = (F.col("l.key") > F.col("r.key")) & (F.col("l.g") != F.col("r.g"))
-    pairs = rest.alias("l").join(rest.alias("r"), (F.col("l.sig") == F.col("r.sig")) & apart & may)
+    new = ~F.arrays_overlap("l.last", "r.last")
+    pairs = rest.alias("l").join(rest.alias("r"), (F.col("l.sig") == F.col("r.sig")) & apart & may & new)
     pairs = written(pairs.select(F.col("l.key").alias("u"), F.col("r.key").alias("v")).distinct(), "rest-pairs")
     released(pairs.sparkSession, rest, live, members)
     return _regrouped(groups, _links(verified, pairs))
