@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prunella.operators.index import Index
@@ -13,13 +13,10 @@ from prunella.operators.intervals import near, ordered_within, phrase
 from prunella.operators.search import and_then, ranked, scored
 from prunella.plans import query_language as q
 
-#: Terms that a prefix may stand for: the first in their order.
-MAX_EXPANSION = 2048
-
 
 @dataclass
 class Found:
-    """docs (doc_id) that match, and terms (doc_id, field, term, weight) that contribute there."""
+    """docs (doc_id) that match, and terms (doc_id, field, term, count, weight) that contribute there."""
 
     docs: DataFrame
     terms: DataFrame
@@ -34,11 +31,9 @@ class Planner:
         field = field or self.default
         match node:
             case q.Term(text):
-                return self.leaf(field, [text], weight)
+                return self.leaf(field, F.col("term") == text, weight)
             case q.Prefix(text):
-                vocab = self.index.vocab.where((F.col("field") == field) & F.col("term").startswith(text))
-                terms = [r["term"] for r in vocab.orderBy("term").limit(MAX_EXPANSION).select("term").collect()]
-                return self.leaf(field, terms, weight)
+                return self.leaf(field, F.col("term").startswith(text), weight)
             case q.Phrase(terms):
                 return self.positional(phrase(self.index.postings, field, terms), field, terms, weight)
             case q.Near(terms, width):
@@ -57,24 +52,25 @@ class Planner:
                 out = [self.plan(p.part, field, weight).docs for p in parts if isinstance(p, q.Not)]
                 docs = reduce(lambda a, b: a.join(b, "doc_id", "left_semi"), [f.docs for f in own]) if own else self.universe()
                 docs = reduce(lambda a, b: a.join(b, "doc_id", "left_anti"), out, docs)
-                none = self.leaf(field, [], weight).terms
+                none = self.leaf(field, F.lit(False), weight).terms
                 terms = reduce(DataFrame.union, [f.terms for f in own], none).distinct()
                 return Found(docs, terms.join(docs, "doc_id", "left_semi"))
             case q.Not(part):
                 docs = self.universe().join(self.plan(part, field, weight).docs, "doc_id", "left_anti")
-                return Found(docs, self.leaf(field, [], weight).terms)
+                return Found(docs, self.leaf(field, F.lit(False), weight).terms)
         raise q.QueryError(f"cannot plan {node}")
 
     def universe(self) -> DataFrame:
         return self.index.doc_stats.select("doc_id").distinct()
 
-    def leaf(self, field: str, terms: list[str], weight: float) -> Found:
-        rows = self.index.postings.where((F.col("field") == field) & F.col("term").isin(terms))
-        rows = rows.select("doc_id", "field", "term", F.lit(weight).alias("weight"))
+    def leaf(self, field: str, terms: Column, weight: float) -> Found:
+        """The postings of a condition on terms, which reaches their scan."""
+        rows = self.index.postings.where((F.col("field") == field) & terms)
+        rows = rows.select("doc_id", "field", "term", "count", F.lit(weight).alias("weight"))
         return Found(rows.select("doc_id").distinct(), rows)
 
     def positional(self, docs: DataFrame, field: str, terms, weight: float) -> Found:
-        own = self.leaf(field, list(dict.fromkeys(terms)), weight).terms
+        own = self.leaf(field, F.col("term").isin(list(dict.fromkeys(terms))), weight).terms
         return Found(docs, own.join(docs, "doc_id", "left_semi"))
 
     def range(self, column: str, bounds: q.Range) -> Found:
@@ -83,13 +79,12 @@ class Planner:
         kind = dict(self.payloads.dtypes)[column]
         low, high = (F.lit(x or None).cast(kind) for x in (bounds.low, bounds.high))
         docs = self.payloads.where((low.isNull() | (F.col(column) >= low)) & (high.isNull() | (F.col(column) <= high)))
-        return Found(docs.select("doc_id").distinct(), self.leaf(self.default, [], 1.0).terms)
+        return Found(docs.select("doc_id").distinct(), self.leaf(self.default, F.lit(False), 1.0).terms)
 
     def matches(self, found: Found) -> DataFrame:
         """What contributes, each (document, field, term) once, with its count; documents of score 0 have no row."""
-        best = found.terms.groupBy("doc_id", "field", "term").agg(F.max("weight").alias("weight"))
-        rows = best.join(self.index.postings.select("field", "term", "doc_id", "count"), ["field", "term", "doc_id"])
-        return rows.withColumn("qid", F.lit(0))
+        best = found.terms.groupBy("doc_id", "field", "term").agg(F.max("weight").alias("weight"), F.first("count").alias("count"))
+        return best.withColumn("qid", F.lit(0))
 
     def run(self, text: str, length: int = 1000, offset: int = 0, fields: list[str] | None = None, transform=None, scorer=None, weights=None) -> DataFrame:
         """(doc_id, score, part, rank) of a query; each and-then part is multiplexed over fields and transformed first."""

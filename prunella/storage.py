@@ -39,7 +39,9 @@ def ordered(df: DataFrame, order: list[Column], mass: str | None = None) -> Data
     rows = out.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     total = F.sum(mass) if mass else F.lit(None).cast("long")
     files = rows.groupBy("file").agg(F.count("*").alias("n"), total.alias("m"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    # Spark pads the partition's number in a name to five digits: beyond, the names' order is not that of the partitions.
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m0"))
     rows = rows.join(files, "file").withColumn("ord", F.col("n0") + F.col("row"))
     if mass:
