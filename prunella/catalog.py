@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, each with its SQL twin where SQL can express it.
 
-`documents` is the collection (source: shard, lang: second field), the first words of `benchmark` items are the query
+`documents` is the collection (source: shard, lang: second field), the `benchmark` items are the query
 log, `labels.quality` are judgements, `conversations` are fragments of virtual documents, `pages` are HTML.
 """
 
@@ -55,7 +55,7 @@ def index_for(spark: SparkSession, sf_dir: str, fields: str = "text") -> Index:
     return _INDEXES[key]
 
 
-def log_for(spark: SparkSession, sf_dir: str, terms: int = 3) -> DataFrame:
+def log_for(spark: SparkSession, sf_dir: str, terms: int | None = None) -> DataFrame:
     return search.query_terms(table(spark, sf_dir, "benchmark"), "item_id", terms=terms)
 
 
@@ -70,8 +70,8 @@ TOT = "tot AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(c) FROM
 BASE = f"WITH {TOK}, {POST}, {SIZES}, {VOC}, {TOT}"
 
 
-def q_sql(n: int = 3) -> str:
-    return f"q AS (SELECT DISTINCT item_id AS qid, unnest({W}[1:{n}]) AS term FROM benchmark)"
+def q_sql() -> str:
+    return f"q AS (SELECT DISTINCT item_id AS qid, unnest({W}) AS term FROM benchmark)"
 
 
 def w_sql(k1: float = 1.2, b: float = 0.5, size: str = "size", c: str = "c", df: str = "df", n: str = "n", occ: str = "occ") -> str:
@@ -223,7 +223,7 @@ post AS (SELECT field, doc_id, term, count(*) AS c FROM t0 GROUP BY ALL),
 voc AS (SELECT field, term, count(*) AS df FROM post GROUP BY ALL),
 tot AS (SELECT field, (SELECT count(*) FROM documents) AS n, sum(c) AS occ FROM post GROUP BY field),
 sizes AS (SELECT field, doc_id, sum(c) AS size FROM post GROUP BY ALL),
-q AS (SELECT DISTINCT item_id AS qid, unnest({W}[1:3]) AS term FROM benchmark UNION SELECT item_id, 'src1' FROM benchmark),
+q AS (SELECT DISTINCT item_id AS qid, unnest({W}) AS term FROM benchmark UNION SELECT item_id, 'src1' FROM benchmark),
 sc AS (SELECT qid, doc_id, round(sum({w_sql()} * CASE field WHEN 'text' THEN 0.7 ELSE 0.3 END), 6) AS score
        FROM q JOIN post USING (term) JOIN voc USING (field, term) JOIN tot USING (field) JOIN sizes USING (field, doc_id) GROUP BY qid, doc_id)"""
 
@@ -514,7 +514,7 @@ def csi_sample(spark, d):
 _CSI = f"""{BASE}, {SHARD}, {SAMPLE}, cp AS (SELECT * FROM post WHERE doc_id IN (SELECT doc_id FROM csi)), cv AS (SELECT term, count(*) AS df FROM cp GROUP BY term),
 ct AS (SELECT (SELECT count(*) FROM csi) AS n, sum(c) AS occ FROM cp), {q_sql()},
 cs AS (SELECT qid, doc_id, round(sum({w_sql()}), 6) AS score FROM q JOIN cp USING (term) JOIN cv USING (term) JOIN sizes USING (doc_id), ct GROUP BY qid, doc_id),
-ctop AS ({rank_sql('cs', 50)}),
+ctop AS ({rank_sql('cs', shards.SAMPLE_DEPTH)}),
 cnt AS (SELECT shard_id, count(*) AS size, count(csi.doc_id) AS sampled FROM sm LEFT JOIN csi USING (doc_id) GROUP BY shard_id HAVING count(csi.doc_id) > 0),
 hc AS (SELECT qid, shard_id, count(*) AS hits FROM ctop JOIN sm USING (doc_id) GROUP BY ALL),
 rd AS (SELECT x.qid, cnt.shard_id, coalesce(hits, 0) * size / sampled AS score FROM (SELECT DISTINCT qid FROM ctop) x CROSS JOIN cnt LEFT JOIN hc ON hc.qid = x.qid AND hc.shard_id = cnt.shard_id),
@@ -523,7 +523,7 @@ rp AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, shard_
 
 def sample_hits(spark, d) -> tuple[DataFrame, DataFrame]:
     sample = shards.hash_sample(docs_of(spark, d), 64)
-    return search.search(shards.subset_index(index_for(spark, d), sample), log_for(spark, d), 50), sample
+    return search.search(shards.subset_index(index_for(spark, d), sample), log_for(spark, d), shards.SAMPLE_DEPTH), sample
 
 
 @query(f"{_CSI} SELECT qid, shard_id::BIGINT AS shard_id, round(score, 6) AS score, place FROM rp WHERE place <= 10")
