@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prunella.functions.text import PROCESSORS, words
-from prunella.storage import written
+from prunella.storage import ordered, written
 
 #: Positions between two fragments of a virtual document.
 VIRTUAL_GAP = 64
@@ -56,9 +56,13 @@ def document_stats(toks: DataFrame, docs: DataFrame, field: str = "text") -> Dat
     )
 
 
-def vocabulary(postings: DataFrame) -> DataFrame:
-    """Terms are numbered in their order within a field."""
+def vocabulary(postings: DataFrame, store: bool = False) -> DataFrame:
+    """Terms are numbered in their order within a field; with store, by ranges of terms that are written."""
     terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("count").alias("cf"))
+    if store:
+        rows = ordered(terms, [F.col("field"), F.col("term")])
+        first = rows.groupBy("field").agg(F.min("ord").alias("first"))  # one row per field
+        return rows.join(F.broadcast(first), "field").select("field", (F.col("ord") - F.col("first")).alias("term_id"), "term", "df", "cf")
     number = F.row_number().over(Window.partitionBy("field").orderBy("term")) - 1
     return terms.select("field", number.cast("long").alias("term_id"), "term", "df", "cf")
 
@@ -75,7 +79,7 @@ def index_statistics(postings: DataFrame, doc_stats: DataFrame) -> DataFrame:
 
 def index_of(postings: DataFrame, doc_stats: DataFrame, store: bool = False) -> Index:
     keep = written if store else (lambda df, _: df)
-    return Index(postings, keep(vocabulary(postings), "vocab"), doc_stats, keep(index_statistics(postings, doc_stats), "stats"))
+    return Index(postings, keep(vocabulary(postings, store), "vocab"), doc_stats, keep(index_statistics(postings, doc_stats), "stats"))
 
 
 def build_index(docs: DataFrame, fields: dict[str, str] | None = None, processor="downcase") -> Index:

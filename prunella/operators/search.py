@@ -6,6 +6,8 @@ rows are counted before it is broadcast, else it is joined by a shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +70,7 @@ def scored(
     return rows.groupBy("qid", "doc_id").agg(F.round(F.sum(one), 6).alias("score"))
 
 
-def ranked(results: DataFrame, length: int = 1000, offset: int = 0, key: str = "qid") -> DataFrame:
+def ranked(results: DataFrame, length: int = 1000, offset: int = 0, key: str | list[str] = "qid") -> DataFrame:
     """The results with rank (from 1) after offset, the best `length`; ties by doc_id."""
     order = Window.partitionBy(key).orderBy(F.desc("score"), "doc_id")
     rows = results.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= offset + length)
@@ -155,3 +157,14 @@ def first_from(index: Index, term: str, doc_id: int, field: str = "text") -> Col
     """The first document of a term's list at or after doc_id."""
     rows = index.postings.where((F.col("field") == field) & (F.col("term") == term) & (F.col("doc_id") >= doc_id))
     return rows.agg(F.min("doc_id").alias("doc_id"))
+
+
+def merged(lists: list[DataFrame], length: int = 1000) -> DataFrame:
+    """One ranked list per query from several (qid, doc_id, score); of a document in more than one, the best score."""
+    rows = reduce(DataFrame.unionByName, (one.select("qid", "doc_id", "score") for one in lists))
+    return ranked(rows.groupBy("qid", "doc_id").agg(F.max("score").alias("score")), length)
+
+
+def long_lists(index: Index, least: int) -> DataFrame:
+    """(field, term_id, term, df) of the terms in at least so many documents."""
+    return index.vocab.where(F.col("df") >= least).select("field", "term_id", "term", "df")
