@@ -17,7 +17,7 @@ from prunella.operators import evaluate, features, hits, learning, pruning, renu
 from prunella.operators.index import (
     Index, build_index, concatenated, corpus_lines, document_stats, remapped, tokens, unigram_xdoc, virtual_tokens,
 )
-from prunella.operators.intervals import intervals, near, ordered_within, phrase, snippets
+from prunella.operators.intervals import interval_scores, intervals, near, ordered_within, phrase, snippets
 from prunella.plans.planner import Planner
 from prunella.plans.query_language import Range
 from prunella.sources.sinks import trec_run
@@ -354,6 +354,11 @@ def proximity_minimal_intervals(spark, d):
     return rows.select("doc_id", F.array_join(F.transform("intervals", lambda s: F.concat_ws("-", s["left"], s["right"])), " ").alias("spans"))
 
 
+@query(SQL["proximity_minimal_intervals"].rpartition("SELECT doc_id")[0] + "SELECT doc_id, round(sum(least(1.0, 16.0 / (r - l + 1)::DOUBLE)), 6) AS score FROM mn GROUP BY doc_id")
+def proximity_scores(spark, d):
+    return interval_scores(index_for(spark, d).postings, "text", ("with", "from"))
+
+
 @query()
 def snippet_marks(spark, d):
     found = intervals(index_for(spark, d).postings, "text", ("with", "from"), most=4, longest=40)

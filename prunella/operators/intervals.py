@@ -43,11 +43,14 @@ def minimal_intervals(n: int) -> Column:
     """The minimal intervals (left, right) that hold a position of each of p0 .. p<n-1>, from left to right."""
     starts = f"array_sort(array_distinct(flatten(array({', '.join(f'p{k}' for k in range(n))}))))"
     ends = ", ".join(f"array_min(filter(p{k}, y -> y >= x))" for k in range(n))
-    right = f"IF(exists(array({ends}), e -> e IS NULL), null, array_max(array({ends})))"
+    # A transform over an array of one value names that value, so that it is computed once.
+    right = f"transform(array(array({ends})), e -> IF(exists(e, y -> y IS NULL), null, array_max(e)))[0]"
     spans = f"transform({starts}, x -> named_struct('left', x, 'right', {right}))"
     whole = f"filter({spans}, s -> s.right IS NOT NULL)"
     # Right ends grow with left ends: an interval is minimal where the next one ends further right.
-    return F.expr(f"filter({whole}, s -> NOT exists({whole}, t -> t.left > s.left AND t.right = s.right))")
+    following = "concat(slice(w, 2, size(w)), array(cast(null as struct<left: int, right: int>)))"
+    last = f"zip_with(w, {following}, (s, t) -> IF(t IS NULL OR t.right > s.right, s, null))"
+    return F.expr(f"transform(array({whole}), w -> filter({last}, s -> s IS NOT NULL))[0]")
 
 
 def intervals(postings: DataFrame, field: str, terms, most: int | None = None, longest: int | None = None) -> DataFrame:
@@ -60,6 +63,14 @@ def intervals(postings: DataFrame, field: str, terms, most: int | None = None, l
     return rows.select("doc_id", "intervals")
 
 
+def interval_scores(postings: DataFrame, field: str, terms, full: int = 16) -> DataFrame:
+    """(doc_id, score): proximity as a sum over minimal intervals: 1 up to `full` positions, full / length beyond."""
+    rows = intervals(postings, field, terms)
+    length = "s.right - s.left + 1"
+    score = F.expr(f"aggregate(intervals, 0.0D, (a, s) -> a + least(1.0D, {float(full)}D / ({length})))")
+    return rows.where(F.size("intervals") > 0).select("doc_id", F.round(score, 6).alias("score"))
+
+
 def near(postings: DataFrame, field: str, terms, width: int) -> DataFrame:
     """Documents with all terms inside some `width` positions."""
     return intervals(postings, field, terms, longest=width).where(F.size("intervals") > 0).select("doc_id")

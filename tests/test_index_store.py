@@ -58,3 +58,14 @@ def test_merged_lists_keep_the_best_score(spark):
     two = spark.createDataFrame([(1, 6, 3.0), (1, 7, 1.0)], "qid long, doc_id long, score double")
     rows = search.merged([one, two], 2).orderBy("rank").collect()
     assert [(r["doc_id"], r["score"]) for r in rows] == [(6, 3.0), (5, 2.0)]
+
+
+def test_intervals_of_a_long_document(spark):
+    from prunella.operators.intervals import interval_scores, intervals
+
+    text = "a b " * 4000 + "c " * 40 + "a"
+    postings = build_index(spark.createDataFrame([(1, text), (2, "a c c b")], "doc_id long, text string")).postings
+    found = {r["doc_id"]: [tuple(s) for s in r["intervals"]] for r in intervals(postings, "text", ("a", "b")).collect()}
+    assert found == {1: [(i, i + 1) for i in range(7999)] + [(7999, 8040)], 2: [(0, 3)]}
+    scores = {r["doc_id"]: r["score"] for r in interval_scores(postings, "text", ("a", "b")).collect()}
+    assert scores == {1: pytest.approx(7999 + 16 / 42, abs=1e-6), 2: 1.0}
