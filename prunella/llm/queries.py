@@ -16,6 +16,7 @@ from prunella.llm.pii import op7_pii
 from prunella.llm.quality import op5_quality_rules
 from prunella.llm.tokens import op9_token_output
 from prunella.llm.toxicity import op3_toxicity
+from prunella.llm.vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
@@ -28,5 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
     "op10_decontaminate": op10_decontaminate,
+    "op13_vector_codes": op13_vector_codes,
+}
+SQL: dict[str, str] = {
+    "op2_jaccard_join": OP2_SQL,
+    "op6_chat_format": OP6_SQL,
+    "op8_mixing": OP8_SQL,
+    "op10_decontaminate": OP10_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
-SQL: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op6_chat_format": OP6_SQL, "op8_mixing": OP8_SQL, "op10_decontaminate": OP10_SQL}
