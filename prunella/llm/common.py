@@ -88,7 +88,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW[0]) < n:
         size = max(n, 2 * len(_POW[0]), SLICE_BYTES)
         for k, base in enumerate((_P, _P_INV)):
@@ -140,7 +140,7 @@ def word_bounds(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE):
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans; equal spans hash alike wherever they stand."""
-    power, inverse = _powers(len(buf) + 1)
+    power, inverse = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(BYTE_CODE[buf] * power[:-1], out=total[1:])
     h = (total[ends] - total[starts]) * inverse[starts]

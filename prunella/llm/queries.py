@@ -14,6 +14,7 @@ from prunella.llm.line_dedup import op1_line_dedup
 from prunella.llm.mixing import OP8_SQL, op8_mixing
 from prunella.llm.pii import op7_pii
 from prunella.llm.quality import op5_quality_rules
+from prunella.llm.substring_dedup import OP12_SQL, op12_substring_dedup
 from prunella.llm.tokens import op9_token_output
 from prunella.llm.toxicity import op3_toxicity
 from prunella.llm.vector_codes import OP13_SQL, op13_vector_codes
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
     "op10_decontaminate": op10_decontaminate,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_vector_codes": op13_vector_codes,
 }
 SQL: dict[str, str] = {
@@ -36,5 +38,6 @@ SQL: dict[str, str] = {
     "op6_chat_format": OP6_SQL,
     "op8_mixing": OP8_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op12_substring_dedup": OP12_SQL,
     "op13_vector_codes": OP13_SQL,
 }
