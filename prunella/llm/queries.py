@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prunella.llm.chat import OP6_SQL, op6_chat_format
+from prunella.llm.collocations import OP11_SQL, op11_collocations
 from prunella.llm.decontaminate import OP10_SQL, op10_decontaminate
 from prunella.llm.jaccard_join import OP2_SQL, op2_jaccard_join
 from prunella.llm.language import op4_language_id
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
     "op10_decontaminate": op10_decontaminate,
+    "op11_collocations": op11_collocations,
     "op12_substring_dedup": op12_substring_dedup,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -38,6 +40,7 @@ SQL: dict[str, str] = {
     "op6_chat_format": OP6_SQL,
     "op8_mixing": OP8_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_substring_dedup": OP12_SQL,
     "op13_vector_codes": OP13_SQL,
 }
