@@ -11,7 +11,7 @@ from prunella.catalog import BASE, OR_SQL, SHARD, SQL, docs_of, index_for, log_f
 from prunella.operators import search, shards
 from prunella.sources import index_store, sinks
 from prunella.sources import text as sources
-from prunella.sources.warc import warc_from_store
+from prunella.sources.warc import warc_documents
 from prunella.storage import scratch_dir, table
 
 ONE_LINE = r"regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g')"
@@ -102,7 +102,7 @@ def warc_read_back(spark, d):
         "WARC/1.0\r\nWARC-Type: response\r\nWARC-Trec-Id: %d\r\nWARC-Target-URI: %s\r\nContent-Length: %d\r\n\r\n", "page_id", "url", F.octet_length(body)
     )
     sinks.write_lines(_pages(spark, d).select("page_id", F.concat(head, body, F.lit("\r\n\r\n")).alias("line")), path, ["page_id"])
-    return warc_from_store(spark, f"{path}/part-*").select("title", "text", "uri")
+    return warc_documents(spark, f"{path}/part-*").select("title", "text", "uri")
 
 
 @query(f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS qid, trim({ONE_LINE}) AS text FROM benchmark WHERE trim({ONE_LINE}) != ''")

@@ -22,11 +22,19 @@ def delimited_documents(spark: SparkSession, path: str, delimiter: str = "\n") -
 
 
 def trec_documents(spark: SparkSession, path: str, encoding: str = "iso-8859-1") -> DataFrame:
-    """(doc_id, title, text): the <DOC> records of TREC files (plain or gzipped), titled by DOCNO; HTML becomes text."""
-    files = spark.read.format("text").option("wholetext", True).option("encoding", encoding).load(path)
-    docs = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<DOC>(.*?)</DOC>"), F.lit(1))).alias("at", "doc"))
-    docs = docs.select("path", "at", F.trim(F.regexp_extract("doc", r"(?s)<DOCNO>(.*?)</DOCNO>", 1)).alias("title"), F.regexp_replace("doc", r"(?s)<DOC(?:NO|HDR)>.*?</DOC(?:NO|HDR)>", "").alias("html"))
-    rows = ordered(docs, [F.col("path"), F.col("at")])
+    """(doc_id, title, text): the <DOC> records of TREC files (plain or gzipped), titled by DOCNO; HTML becomes text.
+
+    The reader cuts plain files by byte ranges at the end of a record, so that many tasks read one file; gzipped files
+    are read as streams.  A record without an end is taken if it is a file's last.
+    """
+    rows = spark.read.text(path, lineSep="</DOC>")
+    plain = encoding.lower().replace("_", "-") in ("utf-8", "utf8")
+    value = F.col("value") if plain else F.decode(F.col("value").cast("binary"), encoding)
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    docs = rows.select(*place, F.regexp_extract(value, r"(?s)<DOC>(.*)\z", 1).alias("doc")).where("doc != ''")
+    number = F.trim(F.regexp_extract("doc", r"(?s)<DOCNO>(.*?)</DOCNO>", 1)).alias("title")
+    docs = docs.select("path", "block", "at", number, F.regexp_replace("doc", r"(?s)<DOC(?:NO|HDR)>.*?</DOC(?:NO|HDR)>", "").alias("html"))
+    rows = ordered(docs, [F.col("path"), F.col("block"), F.col("at")])
     return rows.select(F.col("ord").alias("doc_id"), one_line("title").alias("title"), html_text("html").alias("text"))
 
 

@@ -22,6 +22,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, size: int = 32 << 20) -> None:
+    """Arrow batches for Python hold about so many bytes at most, however long their rows; a lower bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > size:
+        spark.conf.set(key, str(size))
+
+
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df as a Parquet table in the shared scratch folder: computed once, lineage cut."""
     path = f"{scratch_dir(df.sparkSession)}/prunella/{name}-{uuid.uuid4().hex}"

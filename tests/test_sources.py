@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 
@@ -6,7 +7,7 @@ from prunella.functions.text import html_text
 from prunella.operators import features, learning
 from prunella.sources import sinks
 from prunella.sources import text as sources
-from prunella.sources.warc import warc_documents, warc_from_store
+from prunella.sources.warc import WarcError, warc_documents
 
 
 def _record(kind: str, uri: str, payload: bytes, extra: str = "") -> bytes:
@@ -27,7 +28,64 @@ def warc(tmp_path):
 def test_warc(spark, warc):
     rows = warc_documents(spark, f"{warc}/*.warc*").collect()
     assert len(rows) == 2 and all(r["title"] == "T-1" and r["uri"] == "http://a/" and r["encoding"] == "utf-8" and "café" in r["text"] for r in rows)
-    assert warc_from_store(spark, str(warc)).count() == 2
+
+
+@pytest.fixture
+def ranges(spark):
+    """Files are cut into ranges of 2 kB."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _page(k: int, body: bytes) -> bytes:
+    return _record("response", f"http://{k}/", b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n" + body, f"WARC-TREC-ID: T-{k}\r\n")
+
+
+def test_warc_records_across_ranges(spark, tmp_path, ranges):
+    from prunella.sources.warc import pieces
+
+    rng = random.Random(1)
+    bodies = [bytes(rng.choices(b"abc \xe9\xff\r\n<>&W", k=rng.choice([0, 10, 700, 5000]))) for _ in range(60)]
+    (tmp_path / "a.warc").write_bytes(b"".join(_page(k, b) for k, b in enumerate(bodies)))
+    assert pieces(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+    found = {r["title"]: r["html"] for r in warc_documents(spark, str(tmp_path)).collect()}
+    assert found == {f"T-{k}": b.decode("latin-1") for k, b in enumerate(bodies)}
+
+
+def test_marks_inside_payloads(spark, tmp_path, ranges):
+    inner = _page(99, b"a record in a page")
+    long_claim = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 9000000\r\n\r\n"
+    bodies = [b"plain", b"see WARC/1.0 and WARC/ here", inner, b"x" * 3000 + inner + b"WARC/", b"WARC/" * 800, long_claim, b"end" * 1000]
+    for name in ("a.warc", "b.warc"):
+        (tmp_path / name).write_bytes(b"".join(_page(f"{name}{k}", b) for k, b in enumerate(bodies)))
+    found = {r["title"]: r["html"] for r in warc_documents(spark, str(tmp_path)).collect()}
+    assert found == {f"T-{name}{k}": b.decode("latin-1") for name in ("a.warc", "b.warc") for k, b in enumerate(bodies)}
+
+
+@pytest.mark.parametrize("data", [b"no record", _page(1, b"x")[:-8], b"WARC/0.18\r\nContent-Length: 0\r\n\r\n", _page(1, b"x") + b"junk", b"WARC/1.0\r\nno: length\r\n\r\n"])
+def test_bytes_that_are_no_records(spark, tmp_path, data):
+    (tmp_path / "a.warc").write_bytes(data)
+    with pytest.raises(Exception, match="record|head"):
+        warc_documents(spark, str(tmp_path)).collect()
+
+
+def test_other_versions_and_empty_files(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(_page(1, b"x").replace(b"WARC/1.0", b"WARC/0.18").replace(b"\r\n\r\n", b"\r\n\r\n"))
+    (tmp_path / "b.warc").write_bytes(b"")
+    assert [r["title"] for r in warc_documents(spark, str(tmp_path), strict=False).collect()] == ["T-1"]
+
+
+def test_trec_records_across_ranges(spark, tmp_path, ranges):
+    texts = [f"{k} " + "caf\xe9 " * (k % 7 * 90) for k in range(80)]
+    data = "".join(f"<DOC>\n<DOCNO> A-{k} </DOCNO>\n<html>{t}</html></DOC>\n" for k, t in enumerate(texts)).encode("latin-1")
+    (tmp_path / "t.txt").write_bytes(data)
+    (tmp_path / "u.txt.gz").write_bytes(gzip.compress(data))
+    assert spark.read.text(str(tmp_path / "t.txt"), lineSep="</DOC>").rdd.getNumPartitions() > 20
+    rows = sources.trec_documents(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["title"], r["text"]) for r in rows] == [(i, f"A-{i % 80}", texts[i % 80].strip()) for i in range(160)]
 
 
 def test_trec(spark, tmp_path):
