@@ -1,66 +1,82 @@
-"""Positional operators over sorted position arrays, and snippets; higher-order functions, no Python on the data."""
+"""Positional operators, and snippets: passes over sorted positions with windows that carry state, no Python on the data.
+
+A query's lists are read in one scan and brought together by document; the passes need no further shuffle, and take time
+in proportion to the positions (and their sort).
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prunella.functions.text import words
 
 
-def aligned(postings: DataFrame, field: str, terms) -> DataFrame:
-    """(doc_id, p0, p1, ...): the positions of each term in the documents that have all of them."""
-    own = [
-        postings.where((F.col("field") == field) & (F.col("term") == t)).select("doc_id", F.col("positions").alias(f"p{k}"))
-        for k, t in enumerate(terms)
-    ]
-    return reduce(lambda a, b: a.join(b, "doc_id"), own)
+def located(postings: DataFrame, field: str, terms) -> DataFrame:
+    """(doc_id, lists): the distinct terms' numbers `t` and positions in the documents that have all of them; one scan."""
+    names = list(dict.fromkeys(terms))
+    number = reduce(lambda out, kt: F.when(F.col("term") == kt[1], kt[0]).otherwise(out), enumerate(names), F.lit(None).cast("int"))
+    own = postings.where((F.col("field") == field) & F.col("term").isin(names))
+    lists = own.groupBy("doc_id").agg(F.collect_list(F.struct(number.alias("t"), "positions")).alias("lists"))
+    return lists.where(F.size("lists") == len(names))
+
+
+def events(rows: DataFrame, *keys: str) -> DataFrame:
+    """A row (keys, t, pos) for each position; rows of a document stay where they are."""
+    rows = rows.select(*keys, F.explode("lists").alias("l")).select(*keys, "l.*")
+    return rows.select(*keys, *(c for c in rows.columns if c not in (*keys, "positions")), F.explode("positions").alias("pos"))
 
 
 def phrase(postings: DataFrame, field: str, terms) -> DataFrame:
     """Documents in which the terms stand one after another."""
-    rows = aligned(postings, field, terms)
-    starts = reduce(F.array_intersect, [F.expr(f"transform(p{k}, x -> x - {k})") for k in range(len(terms))])
-    return rows.where(F.size(starts) > 0).select("doc_id")
+    names = list(dict.fromkeys(terms))
+    rows = located(postings, field, terms).withColumn("lists", F.array_sort("lists"))
+    shifted = lambda at, k: F.transform(F.col("lists")[at]["positions"], lambda x: x - k)
+    starts = [shifted(names.index(t), k) for k, t in enumerate(terms)]
+    return rows.where(F.size(reduce(F.array_intersect, starts)) > 0).select("doc_id")
 
 
 def ordered_within(postings: DataFrame, field: str, terms, width: int | None = None) -> DataFrame:
     """Documents in which the terms stand in this order (the last less than `width` positions behind the first).
 
-    From each position of the first term, the next position of each following term is the nearest one.
+    One pass over the positions carries, for each term, the latest place where a chain that ends with it begins: a
+    later beginning makes a shorter chain.
     """
-    rows = aligned(postings, field, terms)
-    chain = "x"
-    for k in range(1, len(terms)):
-        chain = f"array_min(filter(p{k}, y{k} -> y{k} > {chain}))"
-    fits = f"({chain}) IS NOT NULL" if width is None else f"coalesce(({chain}) - x < {width}, false)"
-    return rows.where(F.expr(f"exists(p0, x -> {fits})")).select("doc_id")
-
-
-def minimal_intervals(n: int) -> Column:
-    """The minimal intervals (left, right) that hold a position of each of p0 .. p<n-1>, from left to right."""
-    starts = f"array_sort(array_distinct(flatten(array({', '.join(f'p{k}' for k in range(n))}))))"
-    ends = ", ".join(f"array_min(filter(p{k}, y -> y >= x))" for k in range(n))
-    # A transform over an array of one value names that value, so that it is computed once.
-    right = f"transform(array(array({ends})), e -> IF(exists(e, y -> y IS NULL), null, array_max(e)))[0]"
-    spans = f"transform({starts}, x -> named_struct('left', x, 'right', {right}))"
-    whole = f"filter({spans}, s -> s.right IS NOT NULL)"
-    # Right ends grow with left ends: an interval is minimal where the next one ends further right.
-    following = "concat(slice(w, 2, size(w)), array(cast(null as struct<left: int, right: int>)))"
-    last = f"zip_with(w, {following}, (s, t) -> IF(t IS NULL OR t.right > s.right, s, null))"
-    return F.expr(f"transform(array({whole}), w -> filter({last}, s -> s IS NOT NULL))[0]")
+    terms, names = list(terms), list(dict.fromkeys(terms))
+    rows = events(located(postings, field, terms), "doc_id")
+    before = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    start = F.when(F.col("t") == 0, F.col("pos"))
+    for k, term in enumerate(terms[1:], 1):
+        rows = rows.withColumn(f"s{k}", F.last(start, ignorenulls=True).over(before))
+        start = F.when(F.col("t") == names.index(term), F.col(f"s{k}"))
+    fits = start.isNotNull() if width is None else F.col("pos") - start < width
+    return rows.where(fits).select("doc_id").distinct()
 
 
 def intervals(postings: DataFrame, field: str, terms, most: int | None = None, longest: int | None = None) -> DataFrame:
-    """(doc_id, intervals): minimal intervals of the terms, at most `most` of at most `longest` positions."""
-    rows = aligned(postings, field, terms).withColumn("intervals", minimal_intervals(len(terms)))
+    """(doc_id, intervals): minimal intervals of the terms, at most `most` of at most `longest` positions.
+
+    One pass over the positions carries the last place of each term: an interval ends at a position and begins at the
+    least of these places, and is minimal where that place is new.
+    """
+    n = len(set(terms))
+    rows = events(located(postings, field, terms), "doc_id")
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = [F.last(F.when(F.col("t") == k, F.col("pos")), ignorenulls=True).over(upto) for k in range(n)]
+    rows = rows.select("doc_id", "pos", F.array(*last).alias("last"))
+    rows = rows.withColumn("left", F.when(~F.exists("last", lambda x: x.isNull()), F.array_min("last")))
+    rows = rows.withColumn("before", F.lag("left").over(order))
+    new = F.col("left").isNotNull() & (F.col("before").isNull() | (F.col("left") > F.col("before")))
+    span = F.when(new, F.struct(F.col("left"), F.col("pos").alias("right")))
+    out = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("intervals"))
     if longest is not None:
-        rows = rows.withColumn("intervals", F.filter("intervals", lambda s: s["right"] - s["left"] < longest))
+        out = out.withColumn("intervals", F.filter("intervals", lambda s: s["right"] - s["left"] < longest))
     if most is not None:
-        rows = rows.withColumn("intervals", F.slice("intervals", 1, most))
-    return rows.select("doc_id", "intervals")
+        out = out.withColumn("intervals", F.slice("intervals", 1, most))
+    return out
 
 
 def interval_scores(postings: DataFrame, field: str, terms, full: int = 16) -> DataFrame:
