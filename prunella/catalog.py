@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prunella.functions.scoring import bm25, tf_idf
-from prunella.functions.text import PROCESSORS, html_text, stop_words
+from prunella.functions.text import PROCESSORS, html_text, stop_words, words
 from prunella.operators import evaluate, features, hits, learning, pruning, renumber, search, shards
 from prunella.operators.index import (
     Index, build_index, concatenated, corpus_lines, document_stats, remapped, tokens, unigram_xdoc, virtual_tokens,
 )
 from prunella.operators.intervals import interval_scores, intervals, near, ordered_within, phrase, snippets
+from prunella.plans.log_planner import LogPlanner
 from prunella.plans.planner import Planner
 from prunella.plans.query_language import Range
 from prunella.sources.sinks import trec_run
@@ -325,6 +326,35 @@ def andthen_rescaled(spark, d):
     return _planned(spark, d, "den, with", 400)
 
 
+#: A structured query of the words t0 .. t9 of a text of the log (from its first word on, again and again if it has fewer).
+LOG_SHAPE = '((%s & %s) | "%s %s") & !%s, (%s %s)~8 | (%s < %s) | %s*'
+
+
+@query(f"""{BASE}, q AS (SELECT item_id AS qid, {W} AS w FROM benchmark), s AS MATERIALIZED (SELECT qid, k, w[1 + k % len(w)] AS term FROM q, (SELECT unnest(range(10)) AS k) WHERE len(w) > 0),
+tk AS MATERIALIZED (SELECT qid, k, doc_id, pos FROM s JOIN tok USING (term)),
+both_ AS (SELECT qid, doc_id FROM (SELECT DISTINCT qid, k, doc_id FROM tk WHERE k IN (0, 1)) GROUP BY ALL HAVING count(*) = 2),
+ph AS (SELECT DISTINCT x.qid, x.doc_id FROM tk x JOIN tk y ON y.qid = x.qid AND y.doc_id = x.doc_id AND y.pos = x.pos + 1 WHERE x.k = 2 AND y.k = 3),
+nr AS (SELECT DISTINCT x.qid, x.doc_id FROM tk x JOIN tk y ON y.qid = x.qid AND y.doc_id = x.doc_id AND abs(y.pos - x.pos) < 8 WHERE x.k = 5 AND y.k = 6),
+od AS (SELECT x.qid, x.doc_id FROM (SELECT qid, doc_id, min(pos) AS p FROM tk WHERE k = 7 GROUP BY ALL) x JOIN (SELECT qid, doc_id, max(pos) AS p FROM tk WHERE k = 8 GROUP BY ALL) y
+       ON y.qid = x.qid AND y.doc_id = x.doc_id AND y.p > x.p),
+c0 AS (SELECT * FROM (SELECT qid, doc_id, term FROM both_ JOIN s USING (qid) WHERE k IN (0, 1) UNION SELECT qid, doc_id, term FROM ph JOIN s USING (qid) WHERE k IN (2, 3))
+       ANTI JOIN (SELECT qid, doc_id FROM tk WHERE k = 4) USING (qid, doc_id)),
+c1 AS (SELECT qid, doc_id, term FROM nr JOIN s USING (qid) WHERE k IN (5, 6) UNION SELECT qid, doc_id, term FROM od JOIN s USING (qid) WHERE k IN (7, 8)
+       UNION SELECT s.qid, post.doc_id, post.term FROM s JOIN voc ON starts_with(voc.term, s.term) JOIN post ON post.term = voc.term WHERE k = 9),
+s0 AS (SELECT qid, doc_id, round(sum({w_sql()}), 6) AS score FROM c0 JOIN post USING (doc_id, term) JOIN voc USING (term) JOIN sizes USING (doc_id), tot GROUP BY qid, doc_id),
+s1 AS (SELECT * FROM (SELECT qid, doc_id, round(sum({w_sql()}), 6) AS score FROM c1 JOIN post USING (doc_id, term) JOIN voc USING (term) JOIN sizes USING (doc_id), tot GROUP BY qid, doc_id)
+       ANTI JOIN s0 USING (qid, doc_id)),
+u AS (SELECT qid, doc_id, score, 0 AS part FROM s0 UNION ALL SELECT qid, doc_id, score * CASE WHEN worst IS NULL OR best = 0 THEN 1 ELSE worst / best END, 1
+      FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM s1) LEFT JOIN (SELECT qid, min(score) AS worst FROM s0 GROUP BY qid) USING (qid))
+SELECT qid, doc_id, round(score, 6) AS score, part, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY part, score DESC, doc_id) AS rank FROM u) WHERE rank <= 50""")
+def structured_log(spark, d):
+    """The whole log as nested queries of two and-then parts, planned together."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), words(F.lower("text")).alias("w")).where("size(w) > 0")
+    shape = F.format_string(LOG_SHAPE, *(F.expr(f"w[{k} % size(w)]") for k in range(10)))
+    rows = LogPlanner(index_for(spark, d)).run(items.select("qid", shape.alias("text")), 50)
+    return rows.select("qid", "doc_id", "score", "part", F.col("rank").cast("bigint").alias("rank"))
+
+
 def _phrase_sql(*terms: str) -> str:
     joins = " ".join(f"JOIN tok t{k} ON t{k}.doc_id = t0.doc_id AND t{k}.pos = t0.pos + {k} AND t{k}.term = '{t}'" for k, t in enumerate(terms) if k)
     return f"WITH {TOK} SELECT DISTINCT t0.doc_id FROM tok t0 {joins} WHERE t0.term = '{terms[0]}'"

@@ -30,16 +30,23 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
 
 
-def matches(index: Index, queries: DataFrame) -> DataFrame:
-    """The postings of each query's terms: (qid, field, term, doc_id, count)."""
+def matches(index: Index, queries: DataFrame, global_df: DataFrame | None = None) -> DataFrame:
+    """The postings of each query's terms: (qid, field, term, doc_id, count, df); the terms' list lengths come with them,
+    the index's or those of global_df (field, term, df), so that scoring needs no second look at the postings."""
     keep = ["qid", "field", "term", *(["weight"] if "weight" in queries.columns else [])]
-    return index.postings.select("field", "term", "doc_id", "count").join(small(queries.select(*keep).distinct()), ["field", "term"])
+    df = (index.vocab if global_df is None else global_df).select("field", "term", "df")
+    terms = queries.select(*keep).distinct().join(df, ["field", "term"])
+    return index.postings.select("field", "term", "doc_id", "count").join(small(terms), ["field", "term"])
+
+
+def needed(queries: DataFrame) -> DataFrame:
+    """(qid, need): how many distinct terms a document must have to match all of a query."""
+    return queries.select("qid", "field", "term").distinct().groupBy("qid").agg(F.count("*").alias("need"))
 
 
 def conjunctive(found: DataFrame, queries: DataFrame) -> DataFrame:
     """The rows of found whose document has all terms of its query."""
-    need = queries.select("qid", "field", "term").distinct().groupBy("qid").agg(F.count("*").alias("need"))
-    docs = found.groupBy("qid", "doc_id").agg(F.count_distinct("field", "term").alias("n")).join(need, "qid").where("n = need")
+    docs = found.groupBy("qid", "doc_id").agg(F.count_distinct("field", "term").alias("n")).join(needed(queries), "qid").where("n = need")
     return found.join(docs.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
 
 
@@ -50,24 +57,37 @@ def scored(
     weights: dict[str, float] | None = None,
     global_stats: DataFrame | None = None,
     global_df: DataFrame | None = None,
+    need: DataFrame | None = None,
 ) -> DataFrame:
     """(qid, doc_id, score): the weighted sum over distinct terms of what their postings add.
 
+    found brings the list lengths along (df), or they are joined to its terms.  With need (qid, need), documents with
+    fewer terms go, by the same aggregate that sums the scores.
+
     weights by field: the default shares 1 equally, a field that is not named has weight 0.  With global_stats (field,
     n_docs, n_occurrences) and global_df (field, term, df), these stand for the index's own (pruned indexes, shards).
     """
     stats = (global_stats or index.stats).select("field", "n_docs", "n_occurrences")
-    df = (global_df or index.vocab).select("field", "term", "df")
     fields = [r["field"] for r in index.stats.select("field").collect()]
     share = {f: 1 / len(fields) for f in fields} if weights is None else {f: weights.get(f, 0.0) for f in fields}
     weight = F.lit(0.0)
     for f, w in share.items():
         weight = F.when(F.col("field") == f, F.lit(w)).otherwise(weight)
-    terms = found.select("field", "term").distinct().join(df, ["field", "term"]).join(F.broadcast(stats), "field")
-    rows = found.join(small(terms), ["field", "term"]).join(index.doc_stats.select("field", "doc_id", "size"), ["field", "doc_id"])
+    rows = found
+    if global_df is not None or "df" not in found.columns:
+        df = (index.vocab if global_df is None else global_df).select("field", "term", "df")
+        rows = found.drop("df").join(small(found.select("field", "term").distinct().join(df, ["field", "term"])), ["field", "term"])
+    rows = rows.join(F.broadcast(stats), "field")
+    if len(fields) == 1:  # dealt by document, the rows can be added up where they are
+        rows = rows.join(index.doc_stats.where(F.col("field") == fields[0]).select("doc_id", "size"), "doc_id")
+    else:
+        rows = rows.join(index.doc_stats.select("field", "doc_id", "size"), ["field", "doc_id"])
     one = scorer(F.col("count"), F.col("size"), F.col("df"), F.col("n_docs"), F.col("n_occurrences")) * weight
     one = one * F.col("weight") if "weight" in found.columns else one
-    return rows.groupBy("qid", "doc_id").agg(F.round(F.sum(one), 6).alias("score"))
+    out = rows.groupBy("qid", "doc_id").agg(F.round(F.sum(one), 6).alias("score"), F.count("*").alias("n"))
+    if need is not None:
+        out = out.join(small(need), "qid").where("n >= need")
+    return out.select("qid", "doc_id", "score")
 
 
 def ranked(results: DataFrame, length: int = 1000, offset: int = 0, key: str | list[str] = "qid") -> DataFrame:
@@ -85,9 +105,9 @@ def unscored(found: DataFrame, length: int = 1000) -> DataFrame:
 
 def search(index: Index, queries: DataFrame, length: int = 1000, offset: int = 0, mode: str = "or", scorer=bm25, **stats) -> DataFrame:
     """(qid, doc_id, score, rank) of flat queries, all in one plan."""
-    found = matches(index, queries)
-    found = conjunctive(found, queries) if mode == "and" else found
-    return ranked(scored(found, index, scorer, **stats), length, offset)
+    found = matches(index, queries, stats.pop("global_df", None))
+    need = needed(queries) if mode == "and" else None
+    return ranked(scored(found, index, scorer, need=need, **stats), length, offset)
 
 
 def tiered(frame: DataFrame, n_docs: int, lower: float = 0.0, upper: float = 1.0) -> DataFrame:
