@@ -6,6 +6,7 @@ log, `labels.quality` are judgements, `conversations` are fragments of virtual d
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,9 @@ from prunella.operators.intervals import interval_scores, intervals, near, order
 from prunella.plans.log_planner import LogPlanner
 from prunella.plans.planner import Planner
 from prunella.plans.query_language import Range
+from prunella.sources import index_store
 from prunella.sources.sinks import trec_run
-from prunella.storage import table, written
+from prunella.storage import scratch_dir, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -580,10 +582,20 @@ _SEL = f"""{_CSI}, ss AS (SELECT qid, doc_id, round(sum({w_sql()}), 6) AS score
 JOIN (SELECT qid, shard_id FROM rp WHERE place <= 3) USING (qid, shard_id) JOIN voc USING (term) JOIN sizes USING (doc_id), tot GROUP BY qid, doc_id)"""
 
 
+def shard_folders(spark, d) -> DataFrame:
+    """The postings by shard, stored once in a session."""
+    key = (spark.sparkContext.applicationId, d, "shard-folders")
+    if key not in _INDEXES:
+        path = f"{scratch_dir(spark)}/prunella/shards-{uuid.uuid4().hex}"
+        index_store.save_shards(index_for(spark, d), shard_map_of(spark, d), path)
+        _INDEXES[key] = spark.read.parquet(path)
+    return _INDEXES[key]
+
+
 def selected(spark, d, length: int) -> DataFrame:
     top, sample = sample_hits(spark, d)
-    chosen = shards.redde(top, shard_map_of(spark, d), sample, 3)
-    return shards.selective_search(index_for(spark, d), log_for(spark, d), shard_map_of(spark, d), chosen, length)
+    places = written(shards.redde(top, shard_map_of(spark, d), sample, 10), "selection")
+    return shards.search_shards(index_for(spark, d), shard_folders(spark, d), log_for(spark, d), places, 3, length)
 
 
 @query(f"{_SEL} {rank_sql('ss', 10)}")

@@ -69,3 +69,22 @@ def test_intervals_of_a_long_document(spark):
     assert found == {1: [(i, i + 1) for i in range(7999)] + [(7999, 8040)], 2: [(0, 3)]}
     scores = {r["doc_id"]: r["score"] for r in interval_scores(postings, "text", ("a", "b")).collect()}
     assert scores == {1: pytest.approx(7999 + 16 / 42, abs=1e-6), 2: 1.0}
+
+
+def test_folders_of_shards_that_no_query_selects_are_not_read(spark, tmp_path):
+    from prunella.operators import shards
+
+    docs = spark.createDataFrame([(i, f"a b{i} " + "c " * (i % 5), f"s{i % 6}") for i in range(60)], "doc_id long, text string, source string")
+    index, doc_map = build_index(docs).stored(), shards.shard_map(docs, "source")
+    index_store.save_shards(index, doc_map, str(tmp_path / "shards"))
+    queries = spark.createDataFrame([(1, "text", "a"), (1, "text", "c"), (2, "text", "c"), (2, "text", "b7")], "qid long, field string, term string")
+    selection = spark.createDataFrame([(1, 0, 1), (1, 4, 2), (2, 1, 1), (1, 2, 3)], "qid long, shard_id int, place int")
+    want = {mode: sorted(map(tuple, shards.selective_search(index, queries, doc_map, selection.where("place < 3"), mode=mode).collect())) for mode in ("or", "and")}
+    postings = spark.read.parquet(str(tmp_path / "shards"))
+    for k in (2, 3, 5):  # a task that opened one of these files would fail
+        for file in (tmp_path / "shards" / f"shard_id={k}").glob("part-*"):
+            file.write_bytes(b"no parquet")
+    for mode in ("or", "and"):
+        found = shards.search_shards(index, postings, queries, selection, 2, mode=mode)
+        assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == want[mode] != []
