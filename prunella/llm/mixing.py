@@ -154,15 +154,20 @@ def passes(rows: DataFrame) -> DataFrame:
     return taken.withColumn("words", F.least("size", left))
 
 
-def pieces(taken: DataFrame, cuts: DataFrame) -> DataFrame:
-    """The parts of each pass that fall into one block, with the block's shard and its place in the shard's shuffle."""
+def pieces(taken: DataFrame, cuts: DataFrame, whole: bool = False) -> DataFrame:
+    """The parts of each pass that fall into one block, with the block's shard and its place in the shard's shuffle.
+
+    With whole, a document goes with the block that it begins in and is not cut at the block's end.
+    """
     at = F.col("pass") * F.col("source_size") + F.col("start")
-    one = taken.withColumn("at", at).withColumn(
-        "block", F.explode(F.expr(f"sequence(at div {BLOCK_WORDS}, (at + words - 1) div {BLOCK_WORDS})"))
-    )
-    low = F.greatest(F.col("block") * BLOCK_WORDS, "at")
-    high = F.least((F.col("block") + 1) * BLOCK_WORDS, F.col("at") + F.col("words"))
-    one = one.withColumn("first_word", low - F.col("at")).withColumn("n_words", high - low)
+    one = taken.withColumn("at", at)
+    if whole:
+        one = one.withColumns({"block": F.expr(f"at div {BLOCK_WORDS}"), "first_word": F.lit(0).cast("long"), "n_words": F.col("words")})
+    else:
+        one = one.withColumn("block", F.explode(F.expr(f"sequence(at div {BLOCK_WORDS}, (at + words - 1) div {BLOCK_WORDS})")))
+        low = F.greatest(F.col("block") * BLOCK_WORDS, "at")
+        high = F.least((F.col("block") + 1) * BLOCK_WORDS, F.col("at") + F.col("words"))
+        one = one.withColumn("first_word", low - F.col("at")).withColumn("n_words", high - low)
     one = one.join(cuts, "sno")
     quota = F.element_at("cuts", -1)
     shift = F.pmod(F.xxhash64(F.lit(SEED), "sno"), quota)
@@ -211,15 +216,17 @@ def dealt(docs: DataFrame, drawn: DataFrame, sources: DataFrame) -> DataFrame:
     return one.sortWithinPartitions("shard", "turn", "sno", "block", "pass", "start")
 
 
-def sharded_documents(docs: DataFrame) -> DataFrame:
+def sharded_documents(docs: DataFrame, whole: bool = False) -> DataFrame:
     """The mix as rows of docs: a row for each part of a document that is in one block, shard by shard, each in the order
     of its shuffle.
 
-    The parts of a document, put together, are its text.  Other columns stay; n_chars, where there is one, follows a part.
+    The parts of a document, put together, are its text.  With whole, a document is a row for each pass that takes it,
+    with all its words (in the last pass, a source's last one may be cut short): what reads the mix without its order
+    still has whole texts.  Other columns stay; n_chars, where there is one, follows a part.
     """
     sizes = written(sized(docs), "sizes")
     sources = written(targets(sizes), "sources")
-    return dealt(docs, pieces(passes(stream(sizes, sources)), shard_quotas(sources)), sources).select("row.*")
+    return dealt(docs, pieces(passes(stream(sizes, sources)), shard_quotas(sources), whole), sources).select("row.*")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

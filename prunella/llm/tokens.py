@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from prunella.llm.common import scratch_dir, slices, small_batches, span_hashes, table
 
 END_ID = 2
-#: Distinct chunks whose ids a worker remembers before it starts anew.
+#: Distinct chunks whose ids a worker remembers before it starts anew; a power of two.
 CACHE_CHUNKS = 1 << 21
 #: Bytes of text that are cut and encoded at a time.
 BLOCK_BYTES = 4 << 20
@@ -178,21 +178,26 @@ class Encoder:
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
         starts = chunk_starts(buf, off)
-        ends = np.append(starts[1:], len(buf)).astype(np.int32)
-        edges = np.append(starts, len(buf)).astype(np.int32)
-        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(buf)]).dictionary_encode()
+        edges = np.append(starts, len(buf))
+        # A long text may have more chunks than the table holds: so many are looked up at a time.
+        found = [self._run(buf, edges[a : min(a + CACHE_CHUNKS, len(starts)) + 1]) for a in range(0, len(starts), CACHE_CHUNKS)]
+        count = np.append(0, np.cumsum(np.concatenate([size for _, size in found])))
+        return np.concatenate([ids for ids, _ in found]), np.diff(count[np.searchsorted(starts, off)])
+
+    def _run(self, buf: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of neighbouring chunks between edges, and the number of ids of each chunk."""
+        starts, ends, n = edges[:-1], edges[1:], len(edges) - 1
+        coded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(buf)]).dictionary_encode()
         code = coded.indices.to_numpy()
-        first = np.full(len(coded.dictionary), len(starts), np.int64)
-        first[code[::-1]] = np.arange(len(starts))[::-1]
+        first = np.full(len(coded.dictionary), n, np.int64)
+        first[code[::-1]] = np.arange(n)[::-1]
         number = self._numbers(buf, starts[first], ends[first].astype(np.int64))
         size = np.diff(self.known.begin)[number]
         at = np.cumsum(size) - size
         ids = self.known.flat[np.repeat(self.known.begin[number] - at, size) + np.arange(size.sum())]
         lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids))
         # A chunk of a row follows the other, so the taken lists lie one after another.
-        taken = lists.take(coded.indices)
-        count = np.append(0, np.cumsum(size[code]))
-        return taken.flatten().to_numpy(), np.diff(count[np.searchsorted(starts, off)])
+        return lists.take(coded.indices).flatten().to_numpy(), size[code]
 
     def _numbers(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The table's numbers of distinct chunks; new ones are encoded first."""
@@ -206,9 +211,7 @@ class Encoder:
         if not len(new):
             return number
         if self.known.n + len(new) > CACHE_CHUNKS:
-            self.known, new = ChunkIds(), np.arange(len(key))
-            if len(new) > CACHE_CHUNKS:
-                raise ArithmeticError("a block of text has more chunks than fit the table; lower BLOCK_BYTES")
+            self.known, new = ChunkIds(), np.arange(len(key))  # at most CACHE_CHUNKS come at a time
         ids, length = self._encoded([own[a:b].tobytes() for a, b in zip(total[new].tolist(), total[new + 1].tolist(), strict=True)])
         number[new] = self.known.add(key[new], check[new], ids, length)
         return number

@@ -302,7 +302,8 @@ def test_the_mix_is_written_in_shards_and_shuffled(spark, docs):
     assert mixing.sharded_documents(docs.limit(0)).count() == 0
     import corpus_pipeline
 
-    assert sorted(map(str, corpus_pipeline.mix(spark, own, "").collect())) == sorted(map(str, rows.collect()))
+    whole = mixing.sharded_documents(own, whole=True)
+    assert sorted(map(str, corpus_pipeline.mix(spark, own, "").collect())) == sorted(map(str, whole.collect()))
 
 
 def test_draws_over_many_blocks_follow_the_hypergeometric_law(spark, monkeypatch):
@@ -353,3 +354,51 @@ def test_formats_that_are_used_up_grow_and_scripts_stay(spark):
     mails = got[2].split()
     assert len(set(mails)) == 26 and not set(mails) & set(texts[2].split())
     assert len(set(re.findall(r"\+\d+", got[3]))) == 2 and not re.search("Maria|Smith|John|Brown", got[4])
+
+
+def test_a_text_of_more_chunks_than_the_table_holds(monkeypatch):
+    from prunella.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("abcdefghij é,", k=rng.randint(1, 9))) for _ in range(4000))
+    texts = ["short one", text, "", "tail of it"]
+    off = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    whole = [tokens.tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (1, 8, 512, 1 << 21):  # powers of two, as the table wants
+        monkeypatch.setattr(tokens, "CACHE_CHUNKS", size)
+        ids, n = tokens.Encoder(path).rows(buf, off)
+        assert n.tolist() == [len(x) for x in whole] and ids.tolist() == sum(whole, [])
+
+
+def test_three_million_different_chunks_in_one_row():
+    from prunella.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = " ".join(np.base_repr(k, 36).lower() for k in range(1_000_000, 4_000_000))
+    buf = np.frombuffer(text.encode(), np.uint8)
+    ids, n = tokens.Encoder(path).rows(buf, np.asarray([0, len(buf)]))
+    assert n.tolist() == [len(ids)]
+    vocab = {v: k for k, v in tokens.tokenizer(path).get_vocab(with_added_tokens=False).items()}
+    assert sum(len(vocab[i]) for i in ids.tolist()) == len(buf)  # a character of this vocabulary stands for a byte
+    cut = text.rindex(" ", 0, 200_000)
+    want = tokens.tokenizer(path).encode(text[:cut], add_special_tokens=False).ids
+    assert ids[: len(want)].tolist() == want
+
+
+def test_the_pipelines_mix_has_whole_texts(spark):
+    texts = {k: " ".join(f"w{k}x{j}" for j in range(1, 40 + 700 * (k % 5))) for k in range(40)}
+    docs = spark.createDataFrame([(k, t, "en", f"s{k % 3}", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = mixing.sharded_documents(docs, whole=True)
+    assert rows.columns == docs.columns
+    words = {s: 0 for s in ("s0", "s1", "s2")}
+    short = []
+    for r in rows.collect():
+        assert texts[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"])
+        words[r["source"]] += len(r["text"].split())
+        short += [r["source"]] * (r["text"] != texts[r["doc_id"]])
+    assert len(short) == len(set(short)) <= 3
+    want = {r["source"]: r["quota_words"] for r in mixing.targets(mixing.sized(docs)).collect()}
+    assert words == want
+    assert mixing.sharded_documents(docs.limit(0), whole=True).count() == 0
