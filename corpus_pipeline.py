@@ -31,8 +31,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources ask, in blocks dealt to shards and shuffled there."""
-    return mixing.sharded_documents(docs)
+    """Documents as often as the target weights of their sources ask, in blocks dealt to shards and shuffled there.
+
+    Texts stay whole, so that the token files have each of them in its order and with one end id.
+    """
+    return mixing.sharded_documents(docs, whole=True)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
