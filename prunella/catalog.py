@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from prunella.functions.scoring import bm25, tf_idf
 from prunella.functions.text import PROCESSORS, html_text, stop_words, words
 from prunella.operators import evaluate, features, hits, learning, pruning, renumber, search, shards
+from prunella.operators.boosting import Booster
 from prunella.operators.index import (
     Index, build_index, concatenated, corpus_lines, document_stats, remapped, tokens, unigram_xdoc, virtual_tokens,
 )
@@ -156,6 +157,29 @@ def stemmed_terms(spark, d):
     return toks.groupBy(F.col("term").alias("stem")).agg(F.count("*").alias("n"))
 
 
+#: Words and their stems, of the stemmer's published samples.
+STEMS = {
+    "consigned": "consign", "consistency": "consist", "consolations": "consol", "conspiracies": "conspiraci", "knackeries": "knackeri", "knives": "knive",
+    "generated": "generat", "hopping": "hop", "hoping": "hope", "dying": "die", "news": "news", "happily": "happili", "relational": "relat", "the": "the",
+}
+_STEMS = ", ".join(f"('{a}', '{b}')" for a, b in STEMS.items())
+
+
+@query(f"""WITH {TOK}, {POST}, s(term, stem) AS (VALUES {_STEMS}), i AS (SELECT doc_id, unnest([{', '.join(repr(w) for w in STEMS)}]) AS term FROM documents),
+u AS (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, term FROM tok UNION ALL SELECT doc_id, term FROM i) GROUP BY ALL)
+SELECT stem, count(DISTINCT doc_id) AS df, sum(c)::BIGINT AS cf FROM u JOIN s USING (term) GROUP BY stem""")
+def porter2_index(spark, d):
+    """An index of stems: each text with sample words behind it, of which the lists of their stems are looked up."""
+    docs = docs_of(spark, d).select("doc_id", F.concat_ws(" ", F.coalesce("text", F.lit("")), F.lit(" ".join(STEMS))).alias("text"))
+    index = build_index(docs, processor="porter2")
+    words_of = {stem: sorted(w for w in STEMS if STEMS[w] == stem) for stem in STEMS.values()}
+    # Other words of the collection may share a stem: only those of the samples are asked for, by where they stand.
+    plain = build_index(docs).postings.select("doc_id", "term", F.explode("positions").alias("pos"))
+    own = index.postings.where(F.col("term").isin(list(words_of))).select("doc_id", F.col("term").alias("stem"), F.explode("positions").alias("pos"))
+    rows = own.join(plain, ["doc_id", "pos"]).where(F.col("term").isin(list(STEMS)))
+    return rows.groupBy("stem").agg(F.count_distinct("doc_id").alias("df"), F.count("*").alias("cf"))
+
+
 @query(f"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w FROM documents) SELECT doc_id, array_to_string(w, ' ') AS line FROM w")
 def corpus_text(spark, d):
     return corpus_lines(docs_of(spark, d))
@@ -812,6 +836,14 @@ def cv_rmse(spark, d):
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(found.avgMetrics)], "setting int, rmse double")
 
 
+@query()
+def boosting_history(spark, d):
+    """Errors after each round of L1-regularised boosting, of the rows a fold's model learns from and of those it leaves out."""
+    booster = Booster(training_rows(spark, d), features.GROUPS["intrinsic"], folds=3)
+    booster.fit(rounds=10)
+    return booster.history()
+
+
 @query()
 def predict_prune_loop(spark, d):
     """Train on hits, predict for every posting, prune by prediction, and see how much of the best results survives."""

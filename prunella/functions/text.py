@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from prunella.functions.stemmer import porter2
+
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -39,6 +42,29 @@ def s_stemmer(term: Column) -> Column:
 PROCESSORS["english"] = s_stemmer
 
 
+class TermFunction:
+    """A term processor in Python, which must not depend on anything but the term.
+
+    Building an index calls it once for each distinct term of a batch; as a column expression it is an Arrow UDF.
+    """
+
+    def __init__(self, of: Callable[[str], str | None]):
+        self.of = of
+
+    def __call__(self, term: Column) -> Column:
+        of = self.of
+
+        @F.pandas_udf("string")
+        def each(terms: pd.Series) -> pd.Series:
+            known = {t: of(t) for t in terms.dropna().unique()}
+            return terms.map(known)
+
+        return each(term)
+
+
+PROCESSORS["porter2"] = TermFunction(porter2)
+
+
 def one_line(title: str | Column) -> Column:
     return F.regexp_replace(title, r"[\r\n]", " ")
 

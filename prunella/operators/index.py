@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prunella.functions.text import PROCESSORS, words
-from prunella.storage import ordered, written
+from prunella.functions.text import PROCESSORS, TermFunction, words
+from prunella.storage import bounded_batches, ordered, written
 
 #: Positions between two fragments of a virtual document.
 VIRTUAL_GAP = 64
@@ -24,12 +27,20 @@ class Index:
     vocab: DataFrame
     doc_stats: DataFrame
     stats: DataFrame
+    inverted: DataFrame | None = None
 
     def stored(self) -> Index:
-        """The same index as tables; postings range-partitioned and sorted by term, so that a term's list is pruned to."""
-        postings = self.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
+        """The same index as tables; postings range-partitioned and sorted by term, so that a term's list is pruned to.
+
+        Texts are read once: what they give is stored in the order of documents, and dealt out by ranges of terms from
+        there, for which a sample of the terms alone is read.
+        """
+        postings, doc_stats = self.postings, self.doc_stats
+        if self.inverted is not None:
+            postings, doc_stats = _parts(written(self.inverted, "inverted"))
+        postings = postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
         postings = written(postings, "postings")
-        return index_of(postings, written(self.doc_stats, "doc-stats"), store=True)
+        return index_of(postings, written(doc_stats, "doc-stats"), store=True)
 
 
 def tokens(docs: DataFrame, text: str = "text", field: str = "text", processor: str | Callable[[Column], Column] = "downcase") -> DataFrame:
@@ -56,6 +67,56 @@ def document_stats(toks: DataFrame, docs: DataFrame, field: str = "text") -> Dat
     )
 
 
+INVERTED = "field string, term string, doc_id {}, count int, positions array<int>, n_terms int"
+
+
+def inverted(docs: DataFrame, text: str, field: str, processor) -> DataFrame:
+    """What a pass over the texts gives: a row for each (document, term), and one for each document, which has no term,
+    but its size as `count`, and n_terms.
+
+    A document's words are brought together where it is read; nothing is shuffled.
+    """
+    process = PROCESSORS[processor] if isinstance(processor, str) else processor
+    of = process.of if isinstance(process, TermFunction) else None
+    own = words(text) if of else F.transform(words(text), process)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.coalesce(own, F.array().cast("array<string>")).alias("w"))
+
+    def invert_(batches):
+        for batch in batches:
+            w = batch.column("w")
+            size = w.value_lengths().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            coded = w.flatten().dictionary_encode()
+            terms, code = coded.dictionary, coded.indices.fill_null(-1).to_numpy()
+            if of:
+                again = pa.array([of(t) for t in terms.to_pylist()], pa.string()).dictionary_encode()
+                terms, own_code = again.dictionary, again.indices.fill_null(-1).to_numpy()
+                code = own_code[code] if len(own_code) else code
+            kept = np.flatnonzero(code >= 0)
+            order = kept[np.argsort(row[kept] * max(len(terms), 1) + code[kept], kind="stable")]
+            r, c = row[order], code[order]
+            head = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (c[1:] != c[:-1]))) if len(order) else np.zeros(0, np.int64)
+            edges = np.append(head, len(order))
+            n = len(size)
+            at = np.concatenate([r[head], np.arange(n)])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([edges, np.full(n, len(order))]).astype(np.int32)), pa.array(pos[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([field] * len(at), pa.string()), pa.concat_arrays([terms.take(pa.array(c[head])), pa.nulls(n, pa.string())]), batch.column("doc_id").take(pa.array(at)),
+                 pa.array(np.concatenate([np.diff(edges), size]).astype(np.int32)), lists, pa.array(np.bincount(r[head], minlength=n)[at].astype(np.int32))],
+                ["field", "term", "doc_id", "count", "positions", "n_terms"],
+            )
+
+    return rows.mapInArrow(invert_, INVERTED.format(kind))
+
+
+def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings and document statistics of inverted rows."""
+    postings = rows.where("term is not null").select("field", "term", "doc_id", "count", "positions")
+    return postings, rows.where("term is null").select("field", "doc_id", F.col("count").alias("size"), "n_terms")
+
+
 def vocabulary(postings: DataFrame, store: bool = False) -> DataFrame:
     """Terms are numbered in their order within a field; with store, by ranges of terms that are written."""
     terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("count").alias("cf"))
@@ -67,11 +128,9 @@ def vocabulary(postings: DataFrame, store: bool = False) -> DataFrame:
     return terms.select("field", number.cast("long").alias("term_id"), "term", "df", "cf")
 
 
-def index_statistics(postings: DataFrame, doc_stats: DataFrame) -> DataFrame:
-    p = postings.groupBy("field").agg(
-        F.count_distinct("term").alias("n_terms"), F.count("*").alias("n_postings"),
-        F.sum("count").alias("n_occurrences"), F.max("count").alias("max_count"),
-    )
+def index_statistics(postings: DataFrame, doc_stats: DataFrame, vocab: DataFrame) -> DataFrame:
+    p = vocab.groupBy("field").agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"), F.sum("cf").alias("n_occurrences"))
+    p = p.join(postings.groupBy("field").agg(F.max("count").alias("max_count")), "field")
     d = doc_stats.groupBy("field").agg(F.count("*").alias("n_docs"), F.max("size").alias("max_doc_size"))
     zero = {c: F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_terms", "n_postings", "n_occurrences", "max_count")}
     return d.join(p, "field", "left").select("field", "n_docs", *zero.values(), "max_doc_size")
@@ -79,7 +138,8 @@ def index_statistics(postings: DataFrame, doc_stats: DataFrame) -> DataFrame:
 
 def index_of(postings: DataFrame, doc_stats: DataFrame, store: bool = False) -> Index:
     keep = written if store else (lambda df, _: df)
-    return Index(postings, keep(vocabulary(postings, store), "vocab"), doc_stats, keep(index_statistics(postings, doc_stats), "stats"))
+    vocab = keep(vocabulary(postings, store), "vocab")
+    return Index(postings, vocab, doc_stats, keep(index_statistics(postings, doc_stats, vocab), "stats"))
 
 
 def build_index(docs: DataFrame, fields: dict[str, str] | None = None, processor="downcase") -> Index:
@@ -87,12 +147,11 @@ def build_index(docs: DataFrame, fields: dict[str, str] | None = None, processor
     fields = {"text": "text"} if fields is None else fields
     if missing := [c for c in fields.values() if c not in docs.columns]:
         raise ValueError(f"no such columns: {missing}")
-    postings = doc_stats = None
-    for field, column in sorted(fields.items()):
-        toks = tokens(docs, column, field, processor)
-        p, d = invert(toks), document_stats(toks, docs, field)
-        postings, doc_stats = (p, d) if postings is None else (postings.unionByName(p), doc_stats.unionByName(d))
-    return index_of(postings, doc_stats)
+    bounded_batches(docs.sparkSession)
+    rows = reduce(DataFrame.unionByName, [inverted(docs, column, field, processor) for field, column in sorted(fields.items())])
+    out = index_of(*_parts(rows))
+    out.inverted = rows
+    return out
 
 
 def remapped(frame: DataFrame, doc_map: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from prunella.functions.scoring import bm25
 from prunella.operators.index import Index
 from prunella.operators.search import and_then, matches, needed, ranked, scored, small
 from prunella.plans import query_language as q
-from prunella.storage import written
+from prunella.storage import bounded_batches, written
 
 #: A leaf and the nodes above it: `path` has the node, how many of its children must match, and whether it is excluded
 #: from its own parent; a leaf with `need` terms matches by `kind`.
@@ -220,6 +220,7 @@ class LogPlanner:
 
         scorer False gives documents in their order, with score -1.  Ranges of typed fields are not planned here.
         """
+        bounded_batches(log.sparkSession)
         own = written(leaves(log, default=self.default, fields=fields, transform=transform), "leaves")
         s = own.agg(
             F.max("part").alias("parts"), F.max(F.size("path")).alias("depth"), F.bool_or(F.col("kind").isin(*POSITIONAL)).alias("positional"),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -23,7 +27,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession, size: int = 32 << 20) -> None:
-    """Arrow batches for Python hold about so many bytes at most, however long their rows; a lower bound stays."""
+    """Arrow batches for Python hold about so many bytes at most, however long their rows; a lower bound stays.
+
+    Workers that start after this can import this package.
+    """
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).rstrip("bB")) > size:
         spark.conf.set(key, str(size))
