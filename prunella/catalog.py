@@ -415,7 +415,10 @@ def proximity_scores(spark, d):
     return interval_scores(index_for(spark, d).postings, "text", ("with", "from"))
 
 
-@query()
+@query(SQL["proximity_minimal_intervals"].rpartition("SELECT doc_id")[0] + f""", f AS (SELECT doc_id, min(l) AS l, min_by(r, l) AS r FROM mn WHERE r - l < 40 GROUP BY doc_id),
+w AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(greatest(l - 4, 0), least(r + 5, len(w))), lambda i: CASE WHEN i BETWEEN l AND r THEN '<b>' || w[i + 1] || '</b>' ELSE w[i + 1] END), ' ') AS snippet
+FROM w JOIN f USING (doc_id)""")
 def snippet_marks(spark, d):
     found = intervals(index_for(spark, d).postings, "text", ("with", "from"), most=4, longest=40)
     return snippets(docs_of(spark, d), found)
@@ -473,13 +476,9 @@ def posting_list(spark, d) -> DataFrame:
 FROM pl, (SELECT unnest([1, 5, 10, 30]) AS l) WHERE ord <= ceil((SELECT count(*) FROM post) * l / 100) GROUP BY l""")
 def prune_postings_levels(spark, d):
     rows, n = posting_list(spark, d), index_for(spark, d).postings.count()
-    out = None
-    for t in LEVELS:
-        kept = pruning.kept_postings(rows, n, t)
-        one = kept.agg(F.count("*").alias("n_postings"), F.count_distinct("term_id").alias("n_terms"), F.count_distinct("doc_id").alias("n_docs"))
-        one = one.select(F.lit(round(t * 100)).alias("level"), "*")
-        out = one if out is None else out.union(one)
-    return out
+    thresholds = {round(t * 100): -(-round(n * t * 10**9) // 10**9) + 1 for t in LEVELS}
+    found = pruning.level_counts(rows, thresholds, F.col("ord"), ("term_id", "doc_id"))
+    return found.select("level", F.col("n").alias("n_postings"), F.col("n_term_id").alias("n_terms"), F.col("n_doc_id").alias("n_docs"))
 
 
 @query(f"""{BASE}, o AS (SELECT doc_id, size, sum(size) OVER (ORDER BY size DESC, doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM sizes)
@@ -489,12 +488,10 @@ def prune_docs_levels(spark, d):
     stats = index_for(spark, d).doc_stats.select("doc_id", F.col("size").cast("bigint").alias("size"))
     rows = pruning.document_order(stats, [F.desc("size"), F.col("doc_id")])
     total = stats.agg(F.sum("size").alias("n")).first()["n"]
-    out = None
-    for t in LEVELS:
-        one = pruning.kept_documents(rows, total, t).agg(F.count("*").alias("n_docs"), F.sum("size").alias("mass"))
-        one = one.select(F.lit(round(t * 100)).alias("level"), "*")
-        out = one if out is None else out.union(one)
-    return out
+    thresholds = {round(t * 100): -(-round(total * t * 10**9) // 10**9) for t in LEVELS}
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), F.lit(n).alias("below")) for k, n in thresholds.items()))
+    kept = rows.select("size", F.explode(F.filter(levels, lambda x: F.col("cum") - F.col("size") < x["below"])["level"]).alias("level"))
+    return kept.groupBy("level").agg(F.count("*").alias("n_docs"), F.sum("size").alias("mass"))
 
 
 def pruned(spark, d, level: float = 0.3) -> Index:

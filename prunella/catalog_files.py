@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from prunella.catalog import BASE, OR_SQL, SHARD, SQL, docs_of, index_for, log_for, query, rank_sql, result, shard_map_of
 from prunella.operators import search, shards
+from prunella.operators.index import build_index
+from prunella.plans.planner import Planner
 from prunella.sources import index_store, sinks
 from prunella.sources import text as sources
 from prunella.sources.warc import warc_documents
@@ -69,6 +71,17 @@ def cluster_features(spark, d):
     return rows.withColumn("shard_id", F.col("shard_id").cast("bigint"))
 
 
+@query("""SELECT event_id AS doc_id, -1.0::DOUBLE AS score, row_number() OVER (ORDER BY event_id) AS rank FROM events
+WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-10' AND value >= 10 AND value <= 50""")
+def payload_reopened(spark, d):
+    """Ranges of typed values that are stored with an index, asked of the index opened again."""
+    events = table(spark, d, "events").withColumnRenamed("event_id", "doc_id")
+    path = _path(spark, "payload-index")
+    index_store.save_index(build_index(events, {"text": "event_type"}, payloads={"ts": "ts", "value": "value"}), path)
+    rows = Planner(index_store.open_index(spark, path)).run("click & ts:[2024-01-05 .. 2024-01-10] & value:[10 .. 50]", 1_000_000_000, scorer=False)
+    return rows.select("doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 # ------------------------------------------------------------------ sources and sinks
 
 

@@ -21,13 +21,14 @@ VIRTUAL_GAP = 64
 @dataclass
 class Index:
     """postings (field, term, doc_id, count, positions), vocab (field, term_id, term, df, cf), doc_stats (field, doc_id,
-    size, n_terms), stats (field and one row of totals)."""
+    size, n_terms), stats (field and one row of totals); payloads (doc_id, typed columns) where documents have any."""
 
     postings: DataFrame
     vocab: DataFrame
     doc_stats: DataFrame
     stats: DataFrame
     inverted: DataFrame | None = None
+    payloads: DataFrame | None = None
 
     def stored(self) -> Index:
         """The same index as tables; postings range-partitioned and sorted by term, so that a term's list is pruned to.
@@ -40,7 +41,9 @@ class Index:
             postings, doc_stats = _parts(written(self.inverted, "inverted"))
         postings = postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
         postings = written(postings, "postings")
-        return index_of(postings, written(doc_stats, "doc-stats"), store=True)
+        out = index_of(postings, written(doc_stats, "doc-stats"), store=True)
+        out.payloads = None if self.payloads is None else written(in_document_order(self.payloads), "payloads")
+        return out
 
 
 def tokens(docs: DataFrame, text: str = "text", field: str = "text", processor: str | Callable[[Column], Column] = "downcase") -> DataFrame:
@@ -142,15 +145,26 @@ def index_of(postings: DataFrame, doc_stats: DataFrame, store: bool = False) ->
     return Index(postings, vocab, doc_stats, keep(index_statistics(postings, doc_stats, vocab), "stats"))
 
 
-def build_index(docs: DataFrame, fields: dict[str, str] | None = None, processor="downcase") -> Index:
-    """An index of the given fields (name: column); each field has its own postings, vocabulary and statistics."""
+def in_document_order(payloads: DataFrame) -> DataFrame:
+    """Payloads as they are stored: in the order of documents, whose row groups then have narrow bounds of whatever goes up
+    or down with it, such as dates."""
+    return payloads.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+
+
+def build_index(docs: DataFrame, fields: dict[str, str] | None = None, processor="downcase", payloads: dict[str, str] | None = None) -> Index:
+    """An index of the given fields (name: column); each field has its own postings, vocabulary and statistics.
+
+    payloads (name: column) are typed values of a document, which are stored with the index, and asked for by ranges.
+    """
     fields = {"text": "text"} if fields is None else fields
-    if missing := [c for c in fields.values() if c not in docs.columns]:
+    if missing := [c for c in [*fields.values(), *(payloads or {}).values()] if c not in docs.columns]:
         raise ValueError(f"no such columns: {missing}")
     bounded_batches(docs.sparkSession)
     rows = reduce(DataFrame.unionByName, [inverted(docs, column, field, processor) for field, column in sorted(fields.items())])
     out = index_of(*_parts(rows))
     out.inverted = rows
+    if payloads:
+        out.payloads = docs.select("doc_id", *(F.col(f"`{c}`").alias(name) for name, c in payloads.items()))
     return out
 
 

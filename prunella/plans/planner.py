@@ -24,8 +24,8 @@ class Found:
 
 class Planner:
     def __init__(self, index: Index, payloads: DataFrame | None = None, default_field: str = "text"):
-        """payloads: (doc_id, typed columns) for ranges."""
-        self.index, self.payloads, self.default = index, payloads, default_field
+        """payloads: (doc_id, typed columns) for ranges; by default those of the index."""
+        self.index, self.payloads, self.default = index, index.payloads if payloads is None else payloads, default_field
 
     def plan(self, node, field: str | None = None, weight: float = 1.0) -> Found:
         field = field or self.default

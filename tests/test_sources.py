@@ -154,3 +154,58 @@ def test_streamed_queries(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert {(r["qid"], r["doc_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 0), (2, 0), (2, 1)}
+
+
+def test_hits_of_a_stream_are_counted_once_though_batches_fail(spark, tmp_path, monkeypatch):
+    from prunella.operators import hits, search
+    from prunella.operators.index import build_index
+    from prunella.streaming import hit_tables
+
+    rng = random.Random(3)
+    docs = [(k, " ".join(rng.choices("abcdefg", k=12))) for k in range(30)]
+    index = build_index(spark.createDataFrame(docs, "doc_id long, text string")).stored()
+    log = [(k, " ".join(rng.choices("abcdefg", k=2))) for k in range(20)]
+    (tmp_path / "in").mkdir()
+    for k in range(5):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(f'{{"qid": {q}, "text": "{t}"}}' for q, t in log[4 * k : 4 * k + 4]))
+    where = [str(tmp_path / name) for name in ("tables", "check")]
+    stream = lambda: spark.readStream.schema("qid long, text string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+
+    real, calls = hit_tables.merged, []
+
+    def dies(parts, keys):  # the first merge dies after its batch's own table is written
+        calls.append(len(parts))
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+        return real(parts, keys)
+
+    monkeypatch.setattr(hit_tables, "merged", dies)
+    run = hit_tables.hit_stream(stream(), index, *where, flush=2)
+    with pytest.raises(Exception, match="lost"):
+        run.processAllAvailable()
+    run.stop()
+    run = hit_tables.hit_stream(stream(), index, *where, flush=2)
+    run.processAllAvailable()
+    run.stop()
+    assert hit_tables._done(spark, where[0] + "/merged") == [1, 3] and calls == [2, 2, 3]
+    found = hit_tables.hit_table(spark, where[0])
+    terms = search.query_terms(spark.createDataFrame(log, "qid long, text string"), "qid")
+    want = hits.binned(hits.raw_hits(search.search(index, terms), search.matches(index, terms), index.vocab), ["doc_id"], "dh")
+    assert sorted(map(tuple, found.select(want.columns).collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_ranges_of_stored_payloads_reach_the_scan(spark, tmp_path):
+    from prunella.operators.index import build_index
+    from prunella.plans.planner import Planner
+    from prunella.plans.query_language import Range
+    from prunella.sources.index_store import open_index, save_index
+
+    docs = spark.createDataFrame([(k, f"a {k % 3}", k * 0.5, f"d{k:03}") for k in range(200)], "doc_id long, text string, price double, day string")
+    save_index(build_index(docs, payloads={"cost": "price", "day": "day"}), str(tmp_path / "i"))
+    planner = Planner(open_index(spark, str(tmp_path / "i")))
+    plan = planner.range("cost", Range("10", "12")).docs
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(cost,10.0)" in text and "LessThanOrEqual(cost,12.0)" in text
+    assert sorted(r["doc_id"] for r in planner.run("0 & cost:[10 .. 12] & day:[d021 .. ]", scorer=False).collect()) == [21, 24]
+    with pytest.raises(ValueError, match="no such columns"):
+        build_index(docs, payloads={"x": "nothing"})
