@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from prunella.functions.scoring import bm25, tf_idf
 from prunella.functions.text import PROCESSORS, html_text, stop_words, words
-from prunella.operators import evaluate, features, hits, learning, pruning, renumber, search, shards
+from prunella.operators import evaluate, features, hits, learning, pruning, renumber, search, shards, timing
 from prunella.operators.boosting import Booster
 from prunella.operators.index import (
     Index, build_index, concatenated, corpus_lines, document_stats, remapped, tokens, unigram_xdoc, virtual_tokens,
@@ -286,6 +286,13 @@ def matched_term_numbers(spark, d):
     return rows.select("qid", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.array_join(F.col("terms").cast("array<string>"), " ").alias("terms"))
 
 
+@query(f"{OR_SQL} SELECT qid, least(count(*), 10) AS n_results, true AS timed FROM sc GROUP BY qid")
+def query_times(spark, d):
+    """The event log of the query log, one query after another; times differ from run to run, so here it is only that there are any."""
+    times = timing.timed(index_for(spark, d), log_for(spark, d), 10)
+    return times.where("n_results > 0").select("qid", "n_results", (F.col("ms") > 0).alias("timed"))
+
+
 @query(f"{BASE} SELECT term, min(doc_id) AS doc_id FROM post WHERE term IN ('the', 'der') AND doc_id >= 100 GROUP BY term")
 def skip_to(spark, d):
     index = index_for(spark, d)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Title and score of the line that stands for a query without results.
+# Fixed values.
 NO_TITLE = "GX000-00-0000000"
 
 
@@ -47,9 +50,16 @@ MODES = ("time", "short", "long", "snippet", "trec")
 
 
 def shown(results: DataFrame, mode: str, docs: DataFrame | None = None, snippets: DataFrame | None = None, tag: str = "run") -> DataFrame:
-    """(qid, rank, line) for people: ids and scores, with titles, or with snippets, or as a TREC run."""
+    """(qid, rank, line) for people: ids and scores, with titles, or with snippets, or as a TREC run; `time` gives a line for
+    each query, with the number of results and the milliseconds until they were all there."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
+    if mode == "time":
+        began = time.perf_counter()
+        counts = results.groupBy("qid").agg(F.count("*").alias("n")).collect()  # a row for each query
+        ms = (time.perf_counter() - began) * 1000
+        lines = [(r["qid"], 1, f"{r['n']} results; {ms:.3f} ms") for r in counts]
+        return results.sparkSession.createDataFrame(lines, "qid long, rank int, line string")
     if mode == "trec":
         return trec_run(results, docs, tag)
     out = F.format_string("%d\t%.6f", "doc_id", "score")
