@@ -11,10 +11,10 @@ from prunella.catalog import BASE, OR_SQL, SHARD, SQL, docs_of, index_for, log_f
 from prunella.operators import search, shards
 from prunella.operators.index import build_index
 from prunella.plans.planner import Planner
-from prunella.sources import index_store, sinks
+from prunella.sources import bit_codes, index_store, sinks
 from prunella.sources import text as sources
 from prunella.sources.warc import warc_documents
-from prunella.storage import scratch_dir, table
+from prunella.storage import scratch_dir, table, written
 
 ONE_LINE = r"regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g')"
 
@@ -150,6 +150,30 @@ def document_map_read_back(spark, d):
     return sources.document_map(spark, path)
 
 
+@query(f"{BASE} SELECT term_id, df FROM voc")
+def bit_codes_read_back(spark, d):
+    """The list lengths of all terms as gamma codes in files of ranges of terms, decoded by byte ranges."""
+    rows = index_for(spark, d).vocab.select("term_id", "df").repartitionByRange("term_id").sortWithinPartitions("term_id")
+
+    def code(batches):
+        import pyarrow as pa
+
+        held = pa.Table.from_batches(list(batches), pa.schema([("term_id", pa.int64()), ("df", pa.int64())]))
+        if held.num_rows:
+            ids = held.column("term_id").to_pylist()
+            yield pa.RecordBatch.from_pydict({"first": [ids[0]], "n": [len(ids)], "bits": [bit_codes.encoded(held.column("df").to_numpy())]})
+
+    path = _path(spark, "codes")
+    coded = written(rows.mapInArrow(code, "first long, n long, bits binary"), "codes")
+    # A file for each range, named by its first term: what another program would have written.
+    for r in coded.select("first", "bits").toLocalIterator():
+        stream = index_store.created(spark, f"{path}/{r['first']:020d}")
+        stream.write(bytearray(r["bits"]))
+        stream.close()
+    first = F.regexp_extract("path", r"(\d+)$", 1).cast("long")
+    return bit_codes.coded_longs(spark, path).select((first + F.col("ord")).alias("term_id"), F.col("value").alias("df"))
+
+
 @query("SELECT doc_id, n_chars, source FROM documents")
 def feature_csv_read_back(spark, d):
     path = _path(spark, "features")
